@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .licenses import op7_license_scan
 from .mixing import op9_entropy_balancing
 from .sharding import op10_hypergeometric_sharding
+from .topk import OP6_SQL, op6_ball_tree_top_k
 
 QUERIES = {
+    "op6_ball_tree_top_k": op6_ball_tree_top_k,
+    "op7_license_scan": op7_license_scan,
     "op9_entropy_balancing": op9_entropy_balancing,
     "op10_hypergeometric_sharding": op10_hypergeometric_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_ball_tree_top_k": OP6_SQL,
+}
