@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op8_adaptive_dimension_scan
 from .licenses import op7_license_scan
 from .mixing import op9_entropy_balancing
 from .sharding import op10_hypergeometric_sharding
@@ -10,6 +11,7 @@ from .topk import OP6_SQL, op6_ball_tree_top_k
 QUERIES = {
     "op6_ball_tree_top_k": op6_ball_tree_top_k,
     "op7_license_scan": op7_license_scan,
+    "op8_adaptive_dimension_scan": op8_adaptive_dimension_scan,
     "op9_entropy_balancing": op9_entropy_balancing,
     "op10_hypergeometric_sharding": op10_hypergeometric_sharding,
 }
