@@ -5,10 +5,12 @@ from __future__ import annotations
 from .ann import op8_adaptive_dimension_scan
 from .licenses import op7_license_scan
 from .mixing import op9_entropy_balancing
+from .packing import op4_configuration_packing
 from .sharding import op10_hypergeometric_sharding
 from .topk import OP6_SQL, op6_ball_tree_top_k
 
 QUERIES = {
+    "op4_configuration_packing": op4_configuration_packing,
     "op6_ball_tree_top_k": op6_ball_tree_top_k,
     "op7_license_scan": op7_license_scan,
     "op8_adaptive_dimension_scan": op8_adaptive_dimension_scan,
