@@ -7,9 +7,11 @@ from .licenses import op7_license_scan
 from .mixing import op9_entropy_balancing
 from .packing import op4_configuration_packing
 from .sharding import op10_hypergeometric_sharding
+from .tokencount import op3_transducer_token_counts
 from .topk import OP6_SQL, op6_ball_tree_top_k
 
 QUERIES = {
+    "op3_transducer_token_counts": op3_transducer_token_counts,
     "op4_configuration_packing": op4_configuration_packing,
     "op6_ball_tree_top_k": op6_ball_tree_top_k,
     "op7_license_scan": op7_license_scan,
