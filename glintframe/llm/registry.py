@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op8_adaptive_dimension_scan
+from .jaccard import op2_ngram_jaccard_join
 from .licenses import op7_license_scan
 from .mixing import op9_entropy_balancing
 from .packing import op4_configuration_packing
@@ -11,6 +12,7 @@ from .tokencount import op3_transducer_token_counts
 from .topk import OP6_SQL, op6_ball_tree_top_k
 
 QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_transducer_token_counts": op3_transducer_token_counts,
     "op4_configuration_packing": op4_configuration_packing,
     "op6_ball_tree_top_k": op6_ball_tree_top_k,
