@@ -6,6 +6,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +16,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder and read back, lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`.
 
-    The folder is the one `spark.checkpoint.dir` names. Only where that is unset on a local
-    master (tests) a temporary folder is made; on a cluster without the setting this raises.
+    Only where that is unset on a local master (tests) a temporary folder is made; on a cluster without
+    the setting this raises.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder and read back, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def kept(docs: DataFrame, scorer, keep) -> DataFrame:
+    """The rows of `docs`, all columns as they are, for which keep(scores) holds.
+
+    scorer: a broadcast model whose scores(texts) gives an array; null texts count as empty. Rows stay
+    in their partition.
+    """
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            if texts:
+                flags = np.concatenate([keep(scorer.value.scores([t or "" for t in part])) for part in in_parts(texts)])
+                yield batch.filter(pa.array(flags))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def in_parts(texts: list[str | None], chars: int = 1_000_000):
+    """Runs of texts of about `chars` characters together, one text at least."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t or "") > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
 def crc32_of(value: object) -> int:
     """zlib's unsigned crc32 of the decimal text of `value`."""
     return zlib.crc32(str(value).encode())

@@ -6,7 +6,7 @@ a dense layer turns them into its representation h. Gated attention, softmax ove
 w . (tanh(V h) * sigmoid(U h)), weighs the passages, and the weighted representation is scored. Only
 documents carry labels; encoder, attention and score are trained together in numpy with Adam.
 
-Scale: the fit reads a bounded sample of labelled documents (`EACH` of each label); scoring is one pass
+Scale: the fit reads a bounded sample of labelled documents (`EACH`); scoring is one pass
 with the model of a few thousand numbers in the task, without a shuffle.
 
 Edge cases: null and empty texts are one passage without words and get a score like any; a document's
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import fold_of, in_parts, kept, table
 from .training import Adam, labelled_sample, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 PASSAGE = 64  # words
-EACH = 2500  # labelled documents of each label in the fit
+EACH = (2500, 2500)  # labelled documents of label 0 and of label 1 in the fit
 LONGEST = 50_000  # characters of a document in the fit
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 40, 64, 0.01
@@ -178,24 +178,17 @@ def fit(texts: list[str], y: np.ndarray, share: float | None = None, seed: int =
 SCHEMA = "doc_id long, score double"
 
 
-def _score(model, batch_chars: int = 2_000_000):
+def _score(model):
+    """model: a broadcast Model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores, part, size = [], [], 0
-            for t in texts:
-                if part and size + len(t) > batch_chars:
-                    scores.append(model.scores(part))
-                    part, size = [], 0
-                part.append(t)
-                size += len(t)
-            if part:
-                scores.append(model.scores(part))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+            parts = in_parts(batch.column(1).to_pylist())
+            scores = [model.value.scores([t or "" for t in part]) for part in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["doc_id", "score"])
     return run
 
 
-def trained(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = EACH) -> Model:
     """The model, fitted on the folds that are not held out."""
     sample = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, each, LONGEST)
     known = labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
@@ -205,7 +198,8 @@ def trained(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model:
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of `docs`."""
-    out = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_score(model), SCHEMA)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_score(shared), SCHEMA)
     held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -213,3 +207,9 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents predicted to be of quality, all columns as they are."""
+    model = spark.sparkContext.broadcast(trained(docs, table(spark, sf_dir, "labels")))
+    return kept(docs, model, lambda scores: scores >= THRESHOLD)

@@ -10,9 +10,11 @@ from .packing import op4_configuration_packing
 from .quality import op5_attention_quality
 from .sharding import op10_hypergeometric_sharding
 from .tokencount import op3_transducer_token_counts
+from .toxicity import op1_toxicity_gru
 from .topk import OP6_SQL, op6_ball_tree_top_k
 
 QUERIES = {
+    "op1_toxicity_gru": op1_toxicity_gru,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_transducer_token_counts": op3_transducer_token_counts,
     "op4_configuration_packing": op4_configuration_packing,
