@@ -192,7 +192,7 @@ class Model:
             self._known, self._inputs = {}, np.zeros((1, 6 * HIDDEN), dtype=np.float32)
         new = [w for w in every if w not in self._known]
         if new:
-            parts = [self.projected(self.vectors(new[i:i + 20_000])["x"]).astype(np.float32) for i in range(0, len(new), 20_000)]
+            parts = [self.projected(self.vectors(part)["x"]).astype(np.float32) for part in in_slices(new)]
             at = len(self._inputs)
             self._inputs = np.concatenate([self._inputs, *parts])
             self._known.update(zip(new, range(at, at + len(new))))
@@ -226,7 +226,7 @@ class Model:
         return sigmoid(best)
 
 
-def log_odds(rows_by_doc: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+def log_odds(rows_by_doc: Iterator[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Of a row's presence in documents of label 1 against label 0; 0 for rows in few documents (3 to 10)."""
     least = min(10, max(3, len(y) // 300))
     seen = np.zeros((2, size))
@@ -237,20 +237,38 @@ def log_odds(rows_by_doc: list[np.ndarray], y: np.ndarray, size: int) -> np.ndar
     return np.where(seen.sum(axis=0) >= least, odds, 0.0)
 
 
+def in_slices(items: list, n: int = 10_000) -> Iterator[list]:
+    return (items[i:i + n] for i in range(0, len(items), n))
+
+
+def all_grams(every: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """gram_rows of many words, a slice at a time."""
+    rows, begins, at = [], [], 0
+    for part in in_slices(every):
+        r, b = gram_rows(part)
+        rows.append(r.astype(np.int32))
+        begins.append(b + at)
+        at += len(r)
+    return np.concatenate(rows), np.concatenate(begins)
+
+
 def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     model, vocabulary = Model(), Vocabulary()
-    docs = [np.array(vocabulary.add(words(t)), dtype=np.int64) for t in texts]
+    docs = [np.array(vocabulary.add(words(t)), dtype=np.int32) for t in texts]
     every = vocabulary.words or [b""]
     rows = word_rows(every)
-    grams, begin = gram_rows(every)
+    grams, begin = all_grams(every)
     ends = np.append(begin[1:], len(grams))
     k, p = HIDDEN, model.p
     p["E"], p["G"] = rng.normal(0, 0.1, (WORD_ROWS, DIM)), rng.normal(0, 0.1, (GRAM_ROWS, DIM))
-    p["E"][:, 0] = log_odds([rows[d] for d in docs], y, WORD_ROWS) / 3
-    p["G"][:, 0] = log_odds([np.concatenate([grams[begin[w]:ends[w]] for w in np.unique(d)] or [np.zeros(0, dtype=np.int64)]) for d in docs], y, GRAM_ROWS) / 3
+    none = [np.zeros(0, dtype=np.int32)]
+    p["E"][:, 0] = log_odds((rows[d] for d in docs), y, WORD_ROWS) / 3
+    p["G"][:, 0] = log_odds((np.concatenate([grams[begin[w]:ends[w]] for w in np.unique(d)] or none) for d in docs), y, GRAM_ROWS) / 3
+    signal = np.maximum(p["E"][rows, 0], np.maximum.reduceat(p["G"][grams, 0].astype(np.float32), begin))
+    del grams, begin, ends
     for side in "fb":
         p[f"W{side}"] = rng.normal(0, 0.4, (3 * DIM, 3 * k))
         p[f"b{side}"] = np.zeros(3 * k)
@@ -261,7 +279,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
     # All windows of all sampled documents.
     win = [(i, s) for i, d in enumerate(docs) for s in window_starts(len(d))]
     owner = np.array([i for i, _ in win])
-    ids = np.full((WINDOW, len(win)), -1, dtype=np.int64)
+    ids = np.full((WINDOW, len(win)), -1, dtype=np.int32)
     for j, (i, s) in enumerate(win):
         own = docs[i][s:s + WINDOW]
         ids[:len(own), j] = own
@@ -272,14 +290,14 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
     epochs = max(LEAST_EPOCHS, -(-STEPS * batch // len(docs)))
     for epoch in range(epochs):
         adam.rate = RATE * (1 - epoch / epochs) + 0.001
-        single = {name: v.astype(np.float32) for name, v in p.items() if name not in "EG"}
-        fast = Model()
-        fast.p = single
-        a = model.projected(model.vectors(every)["x"]).astype(np.float32)
-        logits = np.concatenate([fast.windows(a, ids[:, lo:lo + 2048], mask[:, lo:lo + 2048])["logit"] for lo in range(0, len(win), 2048)])
         if epoch == 0:  # before anything is learnt, the window with the largest log odds stands for the document
-            signal = np.maximum(model.p["E"][rows, 0], np.maximum.reduceat(model.p["G"][grams, 0], begin))
-            logits = np.where(mask, signal[ids], -9.0).max(axis=0)
+            logits = np.concatenate([np.where(mask[:, lo:lo + 2048], signal[ids[:, lo:lo + 2048]], -9.0).max(axis=0) for lo in range(0, len(win), 2048)])
+        else:
+            fast = Model()
+            fast.p = {name: v.astype(np.float32) for name, v in p.items() if name not in "EG"}
+            a = np.concatenate([model.projected(model.vectors(part)["x"]).astype(np.float32) for part in in_slices(every)])
+            logits = np.concatenate([fast.windows(a, ids[:, lo:lo + 1024], mask[:, lo:lo + 1024])["logit"] for lo in range(0, len(win), 1024)])
+            del a
         chosen = np.array([lo + int(np.argmax(logits[lo:hi])) for lo, hi in zip(of_doc, of_doc[1:])])
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
