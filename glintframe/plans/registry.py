@@ -1,6 +1,6 @@
-"""Queries of the reference's operators over the test tables, and their SQL."""
+"""All queries of the reference's operators over the test tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import pixel_queries, scene_queries, timeline_queries  # noqa: F401  they register themselves
+from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
