@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 
 #: Phrase (its words, one space between) to label. Fixed by contract.
 BASE = {
@@ -62,6 +62,7 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x
 
 #: with binds closer than and, and closer than or.
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
+MOST_CHOICES = 64  # beyond, an expression is kept as it is written
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
 
 
@@ -126,34 +127,32 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out
 
 
-def alternatives(text: str, most: int = 64) -> list[frozenset[str]] | None:
-    """What an expression lets one choose from: each set is the licenses that hold together.
+def evaluated(text: str) -> tuple[list[str], list[frozenset[str]] | None] | None:
+    """Licenses named in an expression, and what it lets one choose from: sets that hold together.
 
-    `or` gives choices, `and` joins them, `with` adds an exception to the license before it. None for
-    a broken expression, or one with more than `most` choices (its identifiers still become labels).
+    `or` gives choices, `and` joins them, `with` ties an exception to the license before it. None for a
+    broken expression; no choices (but all names) where there would be more than MOST_CHOICES.
     """
     postfix = to_postfix(expression_tokens(text))
     if not postfix:
         return None
-    stack: list[list[frozenset[str]]] = []
+    stack: list[tuple[list[str], list[frozenset[str]] | None]] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            stack.append([frozenset([token.lower()])])
+            stack.append(([token.lower()], [frozenset([token.lower()])]))
             continue
         if len(stack) < 2:
             return None
-        right, left = stack.pop(), stack.pop()
-        if token == "or":
-            both = list(dict.fromkeys(left + right))
-        elif token == "and":
-            both = list(dict.fromkeys(a | b for a in left for b in right))
-        else:
-            if len(left) != 1 or len(right) != 1 or len(left[0]) != 1 or len(right[0]) != 1:
+        (names2, right), (names1, left) = stack.pop(), stack.pop()
+        names, both = [*names1, *names2], None
+        if token == "with":
+            if len(names) != 2:
                 return None
-            both = [frozenset([f"{next(iter(left[0]))} with {next(iter(right[0]))}"])]
-        if len(both) > most:
-            return None
-        stack.append(both)
+            names = [" with ".join(names)]
+            both = [frozenset(names)]
+        elif left is not None and right is not None and len(left) * len(right) <= MOST_CHOICES:
+            both = list(dict.fromkeys(left + right if token == "or" else [x | y for x in left for y in right]))
+        stack.append((names, both))
     return stack[0] if len(stack) == 1 else None
 
 
@@ -180,7 +179,7 @@ def scan(text: str | None) -> tuple:
     base = sorted(start for start, phrase in places if phrase in BASE)
     base_labels = {BASE[phrase] for _, phrase in places if phrase in BASE}
     labels, doubt, expressions = set(base_labels), 1.0, []
-    for phrase in {phrase for _, phrase in places}:
+    for phrase in sorted({phrase for _, phrase in places}):
         if phrase in BASE:
             doubt *= 1 - BASE_CONFIDENCE
         elif phrase in NOTICES:
@@ -190,10 +189,11 @@ def scan(text: str | None) -> tuple:
     if any(phrase == TAG for _, phrase in places):
         doubt *= 1 - TAG_CONFIDENCE
         for m in _RAW_TAG.finditer(text):
-            choices = alternatives(m[1])
-            if choices:
-                expressions.append(" | ".join(" & ".join(sorted(c)) for c in choices))
-                labels.update(x.replace(",", "") for c in choices for x in c)
+            found = evaluated(m[1])
+            if found:
+                names, choices = found
+                labels.update(names)
+                expressions.append(" | ".join(" & ".join(sorted(c)) for c in choices) if choices else m[1].strip())
     # The string starts with a space before word 0, so word k is the one after k + 1 spaces.
     first = folded.count(" ", 0, base[0]) if base else None
     last = folded.count(" ", 0, base[-1]) if base else None
@@ -206,10 +206,9 @@ _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
-        if batch.num_rows:
-            found = zip(*(scan(t.as_py()) for t in batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kind) for v, kind in zip(map(list, found), _ARROW))], names=names)
+    for batch in slices(batches):
+        found = zip(*(scan(t.as_py()) for t in batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kind) for v, kind in zip(map(list, found), _ARROW))], names=names)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
