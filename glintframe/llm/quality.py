@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_parts, kept, table
+from .common import fold_of, in_parts, kept, slices, table
 from .training import Adam, labelled_sample, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
@@ -93,10 +93,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     again[1:] = (digest[1:] == digest[:-1]) & (word_text[1:] == word_text[:-1])
     second = np.zeros(len(starts))
     second[2:] = (digest[2:] == digest[:-2]) & (word_text[2:] == word_text[:-2])
-    n = np.maximum(np.bincount(bag_of_word, minlength=total), 1)
+    held = np.bincount(bag_of_word, minlength=total)
+    n = np.maximum(held, 1)
     for k, x in enumerate((np.minimum(length, 40) / 10, (capital > 1) & (capital >= letters), letters == 0, again, second)):
         out[:, CLASSES + k] = np.bincount(bag_of_word, weights=x, minlength=total) / n
-    out[:, CLASSES + 5] = n / PASSAGE
+    out[:, CLASSES + 5] = held / PASSAGE
     return out, owner
 
 
@@ -181,7 +182,7 @@ SCHEMA = "doc_id long, score double"
 def _score(model):
     """model: a broadcast Model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = in_parts(batch.column(1).to_pylist())
             scores = [model.value.scores([t or "" for t in part]) for part in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["doc_id", "score"])
