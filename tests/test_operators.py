@@ -270,3 +270,33 @@ def test_wrapped_index(spark):
     df = spark.range(3)
     assert [r["target"] for r in T.wrapped(df, "id", 1).orderBy("id").collect()] == [1, 2, 0]
     assert [r["target"] for r in T.wrapped(df, "id", -1).orderBy("id").collect()] == [2, 0, 1]
+
+
+def scene_pixels(spark, plume=True):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(30):
+        for j in range(30):
+            b12 = 100.0 + rng.normal(scale=0.2)
+            b11 = 200.0 * (1.0 + (0.12 if plume and 13 <= i < 16 and 14 <= j < 17 else 0.0))
+            rows.append(("s", i, j, -90.0 + (j - 15) * 2e-4, 27.0 - (i - 15) * 2e-4, -90.0, 27.0, 50.0, 60.0, 50.0, 20.0, 20.0, b11, b12, 1.0, None, 10.0, 1.0, 1.0))
+    return spark.createDataFrame(rows, "sid string, `row` int, col int, lon double, lat double, site_lon double, site_lat double, b2 double, b3 double, b4 double, b8 double, b8a double, b11 double, b12 double, cs_cdf double, probability double, sga double, u double, v double")
+
+
+@pytest.mark.parametrize("mode", ["none", "median"])
+def test_workflow_finds_the_plume(spark, mode):
+    from glintframe.config import Speckle
+    from glintframe.plans.workflows import plume_workflow
+
+    out = plume_workflow(scene_pixels(spark), speckle_mode=mode, speckle=Speckle(radius_px=1))
+    assert out.status.first()["status"] == "ok"
+    cells = {(r["row"], r["col"]) for r in out.pixels.collect()}
+    assert (14, 15) in cells and all(12 <= i < 17 and 13 <= j < 18 for i, j in cells)
+    assert out.plumes.count() == 1 and plume_workflow(scene_pixels(spark, False)).plumes.isEmpty()
+
+
+def test_workflow_gates_cloudy_scenes(spark):
+    from glintframe.plans.workflows import plume_workflow
+
+    out = plume_workflow(scene_pixels(spark).withColumn("cs_cdf", F.lit(0.1)))
+    assert out.status.first()["status"] == "c mask mostly empty" and out.ratio.isEmpty()
