@@ -5,6 +5,7 @@ All of them stay inside Catalyst expressions. NULL is a masked pixel; division b
 
 from __future__ import annotations
 
+import datetime
 import math
 from functools import reduce
 
@@ -182,6 +183,17 @@ def point_of(geojson, wkt) -> Column:
 
 # -- dates -----------------------------------------------------------------------------------------
 
+def as_day(value: str | datetime.date) -> datetime.date:
+    """A date from a date, a datetime or ISO text; anything else is a TypeError."""
+    if isinstance(value, datetime.datetime):
+        return value.date()
+    if isinstance(value, datetime.date):
+        return value
+    if isinstance(value, str):
+        return datetime.date.fromisoformat(value[:10])
+    raise TypeError(f"not a date: {value!r}")
+
+
 def day_of(text, pattern: str = "yyyyMMdd") -> Column:
     """A timestamp without zone from text, NULL where it does not parse."""
     return F.try_to_timestamp(col(text), F.lit(pattern)).cast("timestamp_ntz")
@@ -229,6 +241,24 @@ def metre_offsets(lon, lat, lon0, lat0) -> tuple[Column, Column]:
     return dx, (col(lat) - col(lat0)) * F.lit(k)
 
 
+def buffer_box(lon, lat, metres: float) -> dict[str, Column]:
+    """west, south, east, north of the box around a point's buffer."""
+    dlat = math.degrees(metres / EARTH_M)
+    dlon = F.lit(dlat) / F.cos(F.radians(col(lat)))
+    return {"west": col(lon) - dlon, "south": col(lat) - dlat, "east": col(lon) + dlon, "north": col(lat) + dlat}
+
+
+def boxes_meet(west1, south1, east1, north1, west2, south2, east2, north2) -> Column:
+    return (col(west1) <= col(east2)) & (col(east1) >= col(west2)) & (col(south1) <= col(north2)) & (col(north1) >= col(south2))
+
+
+def pixel_place(row, column, west, north, east, south, rows, columns) -> tuple[Column, Column]:
+    """Centre (x, y) of a grid cell in a box, row 0 at the top."""
+    dx = (col(east) - col(west)) / col(columns)
+    dy = (col(north) - col(south)) / col(rows)
+    return col(west) + (col(column) + 0.5) * dx, col(north) - (col(row) + 0.5) * dy
+
+
 def to_mercator(lon, lat) -> tuple[Column, Column]:
     return F.radians(col(lon)) * MERCATOR_M, F.log(F.tan(F.lit(math.pi / 4) + F.radians(col(lat)) / 2)) * MERCATOR_M
 

@@ -251,6 +251,22 @@ def review_features(spark, d):
     return lines.select(F.get_json_object("value", "$.properties.structure_id").cast("bigint").alias("structure_id"), F.col("value").alias("feature"))
 
 
+@query("pixel_at_site", """
+SELECT s.structure_id, (SELECT c.site_id FROM site c WHERE abs(c.lon - s.lon) <= 2 AND abs(c.lat - s.lat) <= 2 ORDER BY sqrt((c.lon - s.lon) * (c.lon - s.lon) + (c.lat - s.lat) * (c.lat - s.lat)), c.lat, c.lon, c.site_id LIMIT 1) AS site_id FROM structure s""", "site", "structure")
+def pixel_at_site(spark, d):
+    return S.sampled_at(view(spark, d, "site"), view(spark, d, "structure"), "structure_id", ["site_id"], 2.0)
+
+
+@query("buffer_boxes", "SELECT site_id, round(lon - degrees(15000E0 / 6371000E0) / cos(radians(lat)), 6) AS west, round(lat - degrees(15000E0 / 6371000E0), 6) AS south, round(lon + degrees(15000E0 / 6371000E0) / cos(radians(lat)), 6) AS east, round(lat + degrees(15000E0 / 6371000E0), 6) AS north FROM site", "site")
+def buffer_boxes(spark, d):
+    return view(spark, d, "site").select("site_id", *[r6(c).alias(k) for k, c in X.buffer_box("lon", "lat", 15_000.0).items()])
+
+
+@query("site_centroids", "SELECT site_id % 10 AS region, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM site GROUP BY 1", "site")
+def site_centroids(spark, d):
+    return view(spark, d, "site").groupBy((F.col("site_id") % 10).alias("region")).agg(r6(F.avg("lon")).alias("lon"), r6(F.avg("lat")).alias("lat"))
+
+
 @query("box_filter", "SELECT site_id FROM site WHERE lon BETWEEN -20 AND 40 AND lat BETWEEN -10 AND 30", "site")
 def box_filter(spark, d):
     return view(spark, d, "site").where(M.inside_box("lon", "lat", -20.0, -10.0, 40.0, 30.0)).select("site_id")

@@ -266,6 +266,23 @@ def test_zero_can_read_as_missing(spark):
     assert list(one(spark, X.defaulted(F.lit(0.0), 100.0), X.defaulted(F.lit(0.0), 100.0, True))) == [0.0, 100.0]
 
 
+def test_days_of_any_kind():
+    day = dt.date(2024, 5, 6)
+    assert [X.as_day(v) for v in (day, dt.datetime(2024, 5, 6, 7), "2024-05-06", "2024-05-06T07:00")] == [day] * 4
+    with pytest.raises(TypeError):
+        X.as_day(20240506)
+
+
+def test_boxes_and_pixel_places(spark):
+    box = X.buffer_box(F.lit(10.0), F.lit(60.0), 1000.0)
+    got = one(spark, (box["north"] - box["south"]).alias("h"), (box["east"] - box["west"]).alias("w"))
+    assert got["w"] == pytest.approx(2 * got["h"])
+    x, y = X.pixel_place(F.lit(0), F.lit(1), F.lit(0.0), F.lit(4.0), F.lit(8.0), F.lit(0.0), F.lit(4), F.lit(4))
+    assert list(one(spark, x, y)) == [3.0, 3.5]
+    lits = lambda *v: [F.lit(float(a)) for a in v]
+    assert list(one(spark, X.boxes_meet(*lits(0, 0, 2, 2, 1, 1, 3, 3)).alias("a"), X.boxes_meet(*lits(0, 0, 1, 1, 2, 2, 3, 3)).alias("b"))) == [True, False]
+
+
 def test_wrapped_index(spark):
     df = spark.range(3)
     assert [r["target"] for r in T.wrapped(df, "id", 1).orderBy("id").collect()] == [1, 2, 0]
