@@ -46,7 +46,7 @@ def kept(docs: DataFrame, scorer, keep) -> DataFrame:
     in their partition.
     """
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             if texts:
                 flags = np.concatenate([keep(scorer.value.scores([t or "" for t in part])) for part in in_parts(texts)])
@@ -55,6 +55,13 @@ def kept(docs: DataFrame, scorer, keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut short, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_parts(texts: list[str | None], chars: int = 1_000_000):
     """Runs of texts of about `chars` characters together, one text at least."""
     part: list[str | None] = []

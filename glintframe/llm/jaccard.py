@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, slices, table
 from .components import components
 from .shingles import MinHash, groups, set_key, shingle_set
 
@@ -99,7 +99,7 @@ def leaders(n: int, near) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash = MinHash(SIZE)
-    for batch in batches:
+    for batch in slices(batches):
         keys, signatures = [], []
         for t in batch.column(2):
             s = shingle_set(t.as_py())

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, slices, table
 
 CAPACITY = 4096
 CLOSING = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 1_000_000  # distinct pre-tokens a worker remembers
+CACHE = 600_000  # distinct pre-tokens a worker remembers
 
 _encoders: dict[str, "CachedEncoder"] = {}
 
@@ -120,18 +120,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closing = np.array([CLOSING], dtype="<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder(path).encode(texts)):
-                    ids += closing
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[start:start + 4 * capacity]
-                        rows.append((doc, k, start // 4, len(cut) // 4, zlib.crc32(cut)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
+        for part in slices(batches, 256):
+            rows = []
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for doc, ids in zip(part.column(0).to_pylist(), encoder(path).encode(texts)):
+                ids += closing
+                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    cut = ids[start:start + 4 * capacity]
+                    rows.append((doc, k, start // 4, len(cut) // 4, zlib.crc32(cut)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
     return run
 
 

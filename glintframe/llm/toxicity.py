@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_parts, kept, table
+from .common import fold_of, in_parts, kept, slices, table
 from .shingles import words
 from .training import Adam, labelled_sample, sigmoid
 
@@ -51,7 +51,7 @@ _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def gram_rows(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all n-grams of all words, and where each word's begin (each has one at least)."""
+    """Table rows of all n-grams of all words (none empty), and where each word's begin (it has one at least)."""
     marked = [b"^" + w + b"$" for w in found]
     size = np.array([len(w) for w in marked], dtype=np.int64)
     data = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
@@ -60,7 +60,7 @@ def gram_rows(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(found)), size)
     room = size[owner] - (np.arange(len(data)) - begin[owner])  # characters from here to the word's end
     h = data * _P + np.uint64(1)
-    for n in range(2, 6):
+    for n in range(2, min(6, len(data) + 1)):
         h[:len(data) - n + 1] = (h[:len(data) - n + 1] ^ (h[:len(data) - n + 1] >> np.uint64(27))) * _Q + data[n - 1:] * _P
         if n >= 3:
             at = np.flatnonzero(room >= n)
@@ -97,15 +97,14 @@ class Vocabulary:
         return [index[w] for w in found]
 
 
+#: The words a worker remembers, of the model used last: model, rows, inputs.
+_met: dict = {}
+
+
 class Model:
     def __init__(self, constant: float | None = None):
         self.constant = constant
         self.p: dict[str, np.ndarray] = {}
-        self._known: dict[bytes, int] = {}
-        self._inputs: np.ndarray | None = None
-
-    def __getstate__(self):
-        return {"constant": self.constant, "p": self.p, "_known": {}, "_inputs": None}
 
     # -- inputs ----------------------------------------------------------------------------------
 
@@ -186,23 +185,24 @@ class Model:
 
     # -- scoring ---------------------------------------------------------------------------------
 
-    def known(self, every: set[bytes]) -> dict[bytes, int]:
-        """Rows of self._inputs for all of `every`; row 0 is no word."""
-        if self._inputs is None or len(self._known) > REMEMBERED:
-            self._known, self._inputs = {}, np.zeros((1, 6 * HIDDEN), dtype=np.float32)
-        new = [w for w in every if w not in self._known]
+    def known(self, every: set[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+        """Row numbers of all of `every`, and the rows: inputs to both recurrences; row 0 is no word."""
+        if _met.get("model") is not self or len(_met["rows"]) > REMEMBERED:
+            _met.update(model=self, rows={}, inputs=np.zeros((1, 6 * HIDDEN), dtype=np.float32))
+        rows = _met["rows"]
+        new = [w for w in every if w not in rows]
         if new:
-            parts = [self.projected(self.vectors(part)["x"]).astype(np.float32) for part in in_slices(new)]
-            at = len(self._inputs)
-            self._inputs = np.concatenate([self._inputs, *parts])
-            self._known.update(zip(new, range(at, at + len(new))))
-        return self._known
+            parts = [self.projected(self.vectors(part)["x"]).astype(np.float32) for part in in_slices(new, 4000)]
+            at = len(_met["inputs"])
+            _met["inputs"] = np.concatenate([_met["inputs"], *parts])
+            rows.update(zip(new, range(at, at + len(new))))
+        return rows, _met["inputs"]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         split = [words(t) for t in texts]
-        known = self.known(set().union(*split))
+        known, inputs = self.known(set().union(*split))
         ids = np.fromiter((known[w] for x in split for w in x), dtype=np.int64, count=sum(map(len, split)))
         starts, sizes, owner, at = [], [], [], 0
         for i, x in enumerate(split):
@@ -215,13 +215,13 @@ class Model:
         logits = np.empty(len(starts))
         ids = np.append(ids, np.zeros(WINDOW, dtype=np.int64))
         order = np.argsort(-sizes, kind="stable")
-        for lo in range(0, len(order), 2048):
-            part = order[lo:lo + 2048]
+        for lo in range(0, len(order), 1024):
+            part = order[lo:lo + 1024]
             steps = max(1, int(sizes[part].max()))
             step = np.arange(steps)[:, None]
             mask = step < sizes[part]
             own = np.where(mask, ids[starts[part] + step], 0)
-            logits[part] = self.windows(self._inputs, own, mask)["logit"]
+            logits[part] = self.windows(inputs, own, mask)["logit"]
         best = np.maximum.reduceat(logits, np.searchsorted(owner, np.arange(len(texts))))
         return sigmoid(best)
 
@@ -258,7 +258,9 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     model, vocabulary = Model(), Vocabulary()
     docs = [np.array(vocabulary.add(words(t)), dtype=np.int32) for t in texts]
-    every = vocabulary.words or [b""]
+    every = vocabulary.words
+    if not every:
+        return Model(float(y.mean()))
     rows = word_rows(every)
     grams, begin = all_grams(every)
     ends = np.append(begin[1:], len(grams))
@@ -344,9 +346,9 @@ SCHEMA = "doc_id long, score double"
 
 
 def _score(model):
-    """model: a broadcast Model; a worker keeps its copy, with the inputs of words it has met."""
+    """model: a broadcast Model; a worker keeps its copy."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = in_parts(batch.column(1).to_pylist())
             scores = [model.value.scores([t or "" for t in part]) for part in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["doc_id", "score"])
