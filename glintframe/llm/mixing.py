@@ -87,30 +87,33 @@ def solve_duals(hist: DataFrame, sources: DataFrame, most: int = MOST, tolerance
     return state.select("sid", "mean", "lam", "full")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, bucket_rows: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, bucket_rows: int = 2_000) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every row of `docs`."""
     t = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     sources = checkpointed(source_targets(t, weights, most))
     t = t.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    duals = solve_duals(t.groupBy("sid", "size").agg(F.count("*").alias("n")), sources, most)
+    hist = checkpointed(t.groupBy("sid", "size").agg(F.count("*").alias("n")))  # read again by every step
+    duals = solve_duals(hist, sources, most)
     t = t.join(duals, "sid", "left")
     tilt = F.col("lam") * F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("full") | (tilt >= F.log(F.lit(float(most)))), float(most)).otherwise(F.exp(tilt))
     t = t.withColumn("rate", rate).withColumn("micro", F.round(F.col("rate") * MILLION).cast("long"))
     t = t.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / bucket_rows)).cast("int"))
+    t = t.repartition("sid", "bucket")  # joins above may have left rows dealt by source alone
     run = Window.partitionBy("sid", "bucket").orderBy(F.desc("size"), F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum(F.col("micro") % MILLION).over(run) + MILLION // 2
     t = t.withColumn("upto", upto)
     extra = F.floor(F.col("upto") / MILLION) - F.floor((F.col("upto") - F.col("micro") % MILLION) / MILLION)
     t = checkpointed(t.withColumn("copies", (F.floor(F.col("micro") / MILLION) + extra).cast("long")).drop("upto", "lam", "mean", "full", "micro"))
+    # One bucket of each source closes what is left of its difference, smallest documents first.
     got = t.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
-    t = t.join(got, "sid").withColumn("short", F.round(F.col("target") - F.col("got")).cast("long"))
+    first = t.where("bucket = 0").join(got, "sid").withColumn("short", F.round(F.col("target") - F.col("got")).cast("long"))
     one = F.when(F.col("short") > 0, F.when(F.col("copies") < most, 1)).when(F.col("short") < 0, F.when(F.col("copies") > 0, -1))
-    t = t.withColumn("one", F.when((F.col("size") > 0) & (F.col("bucket") == 0), one))
-    small = Window.partitionBy("sid", "bucket", F.col("one").isNull()).orderBy("size", F.xxhash64(F.lit(1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("sofar", F.sum("size").over(small))
+    first = first.withColumn("one", F.when(F.col("size") > 0, one))
+    small = Window.partitionBy("sid", F.col("one").isNull()).orderBy("size", F.xxhash64(F.lit(1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    first = first.withColumn("sofar", F.sum("size").over(small))
     moved = F.when(F.col("one").isNotNull() & (F.col("sofar") <= F.abs("short")), F.col("one")).otherwise(0)
-    t = t.withColumn("copies", (F.col("copies") + moved).cast("long"))
+    t = t.where("bucket > 0").unionByName(first.withColumn("copies", (F.col("copies") + moved).cast("long")).select(*t.columns))
     return t.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
