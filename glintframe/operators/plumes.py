@@ -63,9 +63,12 @@ def components(cells: DataFrame, tile: int = 1024, by: str = "sid") -> DataFrame
 
     schema = StructType([*tiled.schema.fields, StructField("label", LongType())])
     local = checkpointed(tiled.groupBy(by, "__tr", "__tc").applyInPandas(labelled, schema))
+    last = lambda c: F.pmod(F.col(c), F.lit(tile)) == tile - 1
+    if local.where(last("row") | last("col")).isEmpty():  # no island reaches the border of a tile
+        return local.select(*cells.columns, "label")
     touch = None
     for dr, dc, axis in ((0, 1, "col"), (1, 0, "row")):
-        here = local.where(F.pmod(F.col(axis), F.lit(tile)) == tile - 1).select(by, (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.col("label").alias("a"))
+        here = local.where(last(axis)).select(by, (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.col("label").alias("a"))
         met = here.join(local.select(by, "row", "col", F.col("label").alias("b")), [by, "row", "col"]).select(by, "a", "b")
         touch = met if touch is None else touch.union(met)
     touch = checkpointed(touch.union(touch.select(by, "b", "a")).distinct())
