@@ -227,7 +227,7 @@ def parsed_days(spark, d):
     return scenes(spark, d).select("sid", F.date_format(X.day_of(text), "yyyy-MM-dd").alias("day"))
 
 
-@query("mercator_roundtrip", "SELECT site_id, round(radians(lon) * 6378137E0, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137E0, 3) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM site", "site")
+@query("mercator_roundtrip", "SELECT site_id, round(radians(lon) * 6378137E0, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137E0, 3) + 0E0 AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM site", "site")
 def mercator_roundtrip(spark, d):
     x, y = X.to_mercator("lon", "lat")
     s = view(spark, d, "site").select("site_id", x.alias("x"), y.alias("y"))
