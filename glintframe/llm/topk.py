@@ -8,7 +8,7 @@ bound lies below the kth score is left out, the leaves that remain are visited f
 down, and the kth score rises as they are read. A shard returns only what reaches it.
 
 Scale: a task holds one shard and one block of queries, whatever the table's size; the query set is
-met with all shards in blocks (shards are repeated per query block, not rows). The driver sees two
+met with all shards in blocks (a block goes to every shard as one row). The driver sees two
 counts. Vector components become whole numbers, so scores are exact and ties are real.
 
 Edge cases: null vectors, vectors with null or non-finite components and null ids take no part; rows
@@ -177,8 +177,11 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = 8192
     floor = checkpointed(ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")))
 
     queries = queries.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    met = trees.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(blocks_of(queries), (F.col("to") == F.col("block")) & (F.col("dim") == F.col("qdim")))
-    found = met.repartition(max(1, shards * blocks), "shard", "block").mapInPandas(_search_rows(k), OUT)
+    # Blocks are the smaller side: they go to every shard, and shards stay where they are.
+    sent = blocks_of(queries).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    met = sent.join(trees, (F.col("to") == F.col("shard")) & (F.col("dim") == F.col("qdim")))
+    tasks = min(shards * blocks, 64 * vectors.sparkSession.sparkContext.defaultParallelism)
+    found = met.repartition(max(1, tasks), "shard", "block").mapInPandas(_search_rows(k), OUT)
     return ranked(found, k)
 
 
