@@ -35,7 +35,7 @@ from .common import checkpointed, slices, table
 CAPACITY = 4096
 CLOSING = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 600_000  # distinct pre-tokens a worker remembers
+CACHE = 400_000  # distinct pre-tokens a worker remembers
 
 _encoders: dict[str, "CachedEncoder"] = {}
 
