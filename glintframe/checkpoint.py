@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to `spark.checkpoint.dir` and read back; a temporary folder only on a local master."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder `spark.checkpoint.dir` names in the session.
+
+    Only where it is unset, and the master is local (tests), a temporary folder is made; on a cluster
+    without the setting this raises, since executors do not see each other's disks.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

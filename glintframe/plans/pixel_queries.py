@@ -13,7 +13,7 @@ from ..operators import plumes as G
 from ..operators import retrieval as R
 from ..operators.timeline import zonal
 from .adapters import view
-from .catalog import DX, DY, SGI, SGIC, TAI, VIS, WATER, query, r6
+from .catalog import DX, DY, SGI, SGIC, TAI, WATER, query, r6
 
 USABLE = f"coalesce(b11 IS NOT NULL AND b12 IS NOT NULL AND b11 < 10000 AND b12 < 10000 AND {WATER}, false)"
 
