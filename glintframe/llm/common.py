@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 import numpy as np
@@ -10,33 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import checkpointed as cut
+from ..checkpoint import shared_folder  # noqa: F401  the pipeline's folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder, on any file system Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`.
+def checkpointed(df: DataFrame, gathered: bool = False) -> DataFrame:
+    """`df` written to the shared folder and read back, lineage cut.
 
-    Only where that is unset on a local master (tests) a temporary folder is made; on a cluster without
-    the setting this raises.
+    gathered: in a few files for each core of the cluster rather than one for each shuffle partition,
+    for what is small beside the corpus; partitions are joined without a shuffle and read in turn.
     """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back, lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    if gathered:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    return cut(df)
 
 
 def kept(docs: DataFrame, scorer, keep) -> DataFrame:

@@ -15,14 +15,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     path of n nodes needs about log n rounds. Labels are checkpointed each round; nothing is collected
     but the question whether any label changed.
     """
-    both = checkpointed(edges.where(F.col("a") != F.col("b")).select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct())
+    both = checkpointed(edges.where(F.col("a") != F.col("b")).select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct(), gathered=True)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
-    labels = checkpointed(labels)
+    labels = checkpointed(labels, gathered=True)
     for _ in range(rounds):
         around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         taken = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        stepped = checkpointed(taken.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"))
+        stepped = checkpointed(taken.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), gathered=True)
         done = stepped.where(F.col("label") != F.col("old")).isEmpty()
         labels = stepped.select("node", "label")
         if done:

@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, bucket_block: int = 4096, component_block:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     signed = checkpointed(rows.mapInArrow(_sign, SIGNED))
     nodes = checkpointed(signed.where("key is not null").groupBy("key").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("least")))
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("least")), gathered=True)
 
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(SIZE // ROWS)))
     banded = nodes.select("key", F.explode(bands).alias("bucket"))
@@ -204,9 +204,11 @@ def near_duplicates(docs: DataFrame, bucket_block: int = 4096, component_block:
     todo = label.join(nodes.select(F.col("key").alias("node"), "first", "n"), "node")
     todo = todo.select("label", "members", F.col("node").alias("key"), "n", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     text = rows.join(todo, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    # Rows that repeat a node's id and text are merged map-side, however many they are.
+    text = text.groupBy("key").agg(*(F.first(c).alias(c) for c in ("label", "members", "n", "text")))
     text = _in_blocks(text, "label", "members", component_block, "key").select("label", "low", "high", "own", "key", "n", "text")
     text = text.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
-    verified = checkpointed(text.mapInArrow(_verify, VERIFIED))
+    verified = checkpointed(text.mapInArrow(_verify, VERIFIED), gathered=True)
 
     grouped = components(verified.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b")))
     counted = verified.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs")).join(grouped, F.col("key") == F.col("node"), "left")

@@ -60,6 +60,13 @@ def test_repeated_rows_and_null_ids(documents):
     assert sorted(out, key=str) == sorted([(5, 5, 3, 0), (5, 5, 3, 0), (None, 5, 3, 0), (7, 5, 3, 0), (6, 6, 0, 0), (None, None, 0, 0)], key=str)
 
 
+def test_many_rows_without_ids(documents):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, text)] * 200 + [(1, text + " tail"), (2, None)]
+    out = [(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(documents(rows)).collect()]
+    assert sorted(set(out), key=str) == sorted({(None, 1, 200), (1, 1, 200), (2, 2, 0)}, key=str) and len(out) == 202
+
+
 def test_long_texts(documents):
     words = [f"t{k}" for k in range(30_000)]
     other = [*words]
