@@ -62,7 +62,7 @@ def solve_duals(hist: DataFrame, sources: DataFrame, most: int = MOST, tolerance
     mean = F.col("source_size") / F.col("n")
     state = checkpointed(sources.where(F.col("source_size") > 0).select(
         "sid", "target", mean.alias("mean"), (F.col("target") >= most * F.col("source_size") * (1 - 1e-9)).alias("full"),
-        F.lit(0.0).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(False).alias("done")))
+        F.lit(0.0).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(False).alias("done")), gathered=True)
     for _ in range(rounds):
         x = F.col("size") / F.col("mean")
         capped = F.col("lam") * x >= F.log(F.lit(float(most)))
@@ -81,7 +81,7 @@ def solve_duals(hist: DataFrame, sources: DataFrame, most: int = MOST, tolerance
             "sid", "target", "mean", "full", F.when(F.col("f").isNull() | near, F.col("lam")).otherwise(safe).alias("lam"),
             F.coalesce(lo, F.col("lo")).alias("lo"), F.coalesce(hi, F.col("hi")).alias("hi"),
             (F.col("done") | F.coalesce(near | ((hi - lo) < 1e-12), F.lit(False))).alias("done"))
-        state = checkpointed(stepped)
+        state = checkpointed(stepped, gathered=True)
         if state.where(~F.col("done") & ~F.col("full")).isEmpty():
             break
     return state.select("sid", "mean", "lam", "full")
@@ -90,9 +90,9 @@ def solve_duals(hist: DataFrame, sources: DataFrame, most: int = MOST, tolerance
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, bucket_rows: int = 2_000) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every row of `docs`."""
     t = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sources = checkpointed(source_targets(t, weights, most))
+    sources = checkpointed(source_targets(t, weights, most), gathered=True)
     t = t.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    hist = checkpointed(t.groupBy("sid", "size").agg(F.count("*").alias("n")))  # read again by every step
+    hist = checkpointed(t.groupBy("sid", "size").agg(F.count("*").alias("n")), gathered=True)  # read again by every step
     duals = solve_duals(hist, sources, most)
     t = t.join(duals, "sid", "left")
     tilt = F.col("lam") * F.col("size") / F.col("mean")
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     upto = F.sum(F.col("micro") % MILLION).over(run) + MILLION // 2
     t = t.withColumn("upto", upto)
     extra = F.floor(F.col("upto") / MILLION) - F.floor((F.col("upto") - F.col("micro") % MILLION) / MILLION)
-    t = checkpointed(t.withColumn("copies", (F.floor(F.col("micro") / MILLION) + extra).cast("long")).drop("upto", "lam", "mean", "full", "micro"))
+    t = checkpointed(t.withColumn("copies", (F.floor(F.col("micro") / MILLION) + extra).cast("long")).drop("upto", "lam", "mean", "full", "micro"), gathered=True)
     # One bucket of each source closes what is left of its difference, smallest documents first.
     got = t.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
     first = t.where("bucket = 0").join(got, "sid").withColumn("short", F.round(F.col("target") - F.col("got")).cast("long"))

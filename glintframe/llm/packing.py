@@ -280,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     spark = docs.sparkSession
     pieces = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_cut(tokenizer, capacity), PIECES)
     pieces = checkpointed(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
-    groups = checkpointed(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most capacity x salts rows
+    groups = checkpointed(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), gathered=True)  # at most capacity x salts rows
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if not histogram:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

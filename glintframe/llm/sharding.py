@@ -87,7 +87,7 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = SHARDS, seed: i
     placed = (dealt.withColumn("__rank", F.row_number().over(local) - 1)
               .join(F.broadcast(sent), F.col("__p") == F.col("__q"))
               .select(*names, F.size(F.filter("__cuts", lambda c: c <= F.col("__rank"))).alias("shard")))
-    placed = checkpointed(placed.withColumns({"__h": second, "__b": F.pmod(F.shiftrightunsigned(second, 17), F.lit(max(1, buckets // shards))).cast("int")}))
+    placed = checkpointed(placed.withColumns({"__h": second, "__b": F.pmod(F.shiftrightunsigned(second, 17), F.lit(max(1, buckets // shards))).cast("int")}), gathered=True)
     parts = placed.groupBy("shard", "__b").agg(F.count("*").alias("__n"))  # at most shards x max_buckets / shards rows
     before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("shard").alias("__s"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))

@@ -174,7 +174,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = 8192
     # One shard first: its kth score bounds each query's kth score from below.
     first = blocks_of(queries.withColumn("floor", F.lit(float("-inf"))))
     first = first.join(trees, (F.col("shard") == F.pmod("block", F.lit(shards))) & (F.col("dim") == F.col("qdim"))).mapInPandas(_search_rows(k), OUT)
-    floor = checkpointed(ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")))
+    floor = checkpointed(ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")), gathered=True)
 
     queries = queries.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     # Blocks are the smaller side: they go to every shard, and shards stay where they are.
