@@ -135,10 +135,10 @@ m AS (SELECT image_id, r.ts AS record_ts, u, v, row_number() OVER (PARTITION BY
 SELECT i.image_id, record_ts, round(u, 6) AS u, v, coalesce(n, 0) AS candidates FROM i LEFT JOIN m ON m.image_id = i.image_id AND rn = 1"""
 
 
-def asof(spark, d, choice: str) -> DataFrame:
+def asof(spark, d, choice: str, of: str = "event_type = 'view' and event_id % 10 = 0") -> DataFrame:
     e = table(spark, d, "events")
     images = e.where("event_type = 'click'").select(F.col("event_id").alias("image_id"), "ts")
-    records = e.where("event_type = 'view' and event_id % 10 = 0").select("ts", F.col("value").alias("u"), (F.col("event_id") % 17).cast("double").alias("v"))
+    records = e.where(of).select("ts", F.col("value").alias("u"), (F.col("event_id") % 17).cast("double").alias("v"))
     out = S.asof_in_window(images, records, "image_id", ["u", "v"], 1.0, choice)
     return out.select("image_id", "record_ts", r6("u").alias("u"), "v", "candidates")
 
@@ -153,6 +153,20 @@ def asof_wind_nearest(spark, d):
     return asof(spark, d, "nearest")
 
 
+# The two queries above join a tenth of the wind records, as their SQL says; these join all.
+WIND_ALL = WIND.replace(" AND event_id % 10 = 0", "")
+
+
+@query("asof_wind_earliest_all", f"WITH {WIND_ALL.format(order='r.ts, u, v')}")
+def asof_wind_earliest_all(spark, d):
+    return asof(spark, d, "earliest", "event_type = 'view'")
+
+
+@query("asof_wind_nearest_all", f"WITH {WIND_ALL.format(order='abs(epoch_us(r.ts) - epoch_us(i.ts)), r.ts, u, v')}")
+def asof_wind_nearest_all(spark, d):
+    return asof(spark, d, "nearest", "event_type = 'view'")
+
+
 @query("detections_reviewed", "SELECT system_index, EXISTS (SELECT 1 FROM obs r WHERE r.event_type = 'signup' AND r.structure_id = o.structure_id AND r.system_index % 10 = o.system_index % 10) AS reviewed FROM obs o WHERE event_type = 'view'", "obs")
 def detections_reviewed(spark, d):
     o = obs(spark, d).withColumn("k", F.col("system_index") % 10)
