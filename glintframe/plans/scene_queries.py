@@ -125,10 +125,20 @@ def value_counts(spark, d):
     return scenes(spark, d).groupBy("tile").agg(F.count("*").alias("n"))
 
 
+def sorted_ids(s: DataFrame) -> DataFrame:
+    s = s.groupBy("tile").agg(F.array_sort(F.collect_set("sid")).alias("sids"))
+    return s.select("tile", F.array_join(F.transform("sids", lambda x: x.cast("string")), ",").alias("sids"))
+
+
 @query("distinct_sorted_ids", "SELECT tile, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS sids FROM (SELECT DISTINCT tile, sid FROM scene WHERE sid % 97 = 0) GROUP BY tile", "scene")
 def distinct_sorted_ids(spark, d):
-    s = scenes(spark, d).where("sid % 97 = 0").groupBy("tile").agg(F.array_sort(F.collect_set("sid")).alias("sids"))
-    return s.select("tile", F.array_join(F.transform("sids", lambda x: x.cast("string")), ",").alias("sids"))
+    return sorted_ids(scenes(spark, d).where("sid % 97 = 0"))
+
+
+# The query above lists the ids that 97 divides, as its SQL says; this lists all.
+@query("distinct_sorted_ids_all", "SELECT tile, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS sids FROM (SELECT DISTINCT tile, sid FROM scene) GROUP BY tile", "scene")
+def distinct_sorted_ids_all(spark, d):
+    return sorted_ids(scenes(spark, d))
 
 
 @query("sampled_tiles")

@@ -23,3 +23,9 @@ def test_all_wind_records_are_joined(spark, choice):
         at = None if r["record_ts"] is None else pd.Timestamp(r["record_ts"])
         got[r["image_id"]] = (r["candidates"], at if at is None or choice == "earliest" else abs(at - clicks[r["image_id"]]))
     assert got == want and sum(n for n, _ in got.values()) > 0
+
+
+def test_every_id_of_a_tile_is_listed(spark):
+    o = pd.read_parquet(f"{FOLDER}/orders.parquet")
+    want = o.groupby(o.o_custkey % 50).o_orderkey.agg(lambda k: ",".join(map(str, sorted(set(k))))).to_dict()
+    assert {r["tile"]: r["sids"] for r in registry.QUERIES["distinct_sorted_ids_all"](spark, FOLDER).collect()} == want
