@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import checkpointed
 from ..functions.scalars import colour_state, divided, state_colour
 
 
@@ -53,6 +54,21 @@ def first_row(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` with place, from 1 on, in a total order.
+
+    Rows are dealt by ranges of the order, and the places of a range begin after the counts of those before it,
+    so no task numbers all rows.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))  # a row per range
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__k", within).join(F.broadcast(base), "__range").withColumn("place", F.col("__base") + F.col("__k")).drop("__range", "__base", "__k")
+
+
 def wrapped(df: DataFrame, order: str, step: int) -> DataFrame:
     """`df` with the index reached from each row's own by a step that wraps around the end."""
     n = df.count()

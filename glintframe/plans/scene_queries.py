@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import masks as M
-from ..operators.timeline import first_row, histogram
+from ..operators.timeline import first_row, histogram, placed
 from ..sources import readers, sinks
 from .adapters import table, view
 from .catalog import ALPHA, ANGLE, query, r6
@@ -70,6 +70,12 @@ def scenes_by_alpha_missing_last(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("alpha"), "sid")))
 
 
+# The query above gives the first 500 scenes, as its SQL says; this gives all.
+@query("scenes_by_alpha_all", f"WITH x AS (SELECT sid, round({ALPHA}, 6) AS alpha FROM scene) SELECT sid, alpha, row_number() OVER (ORDER BY alpha ASC NULLS LAST, sid) AS place FROM x", "scene")
+def scenes_by_alpha_all(spark, d):
+    return placed(scenes(spark, d).select("sid", r6(alpha()).alias("alpha")), F.asc_nulls_last("alpha"), F.asc("sid"))
+
+
 @query("nth_scene", "SELECT sid, cloudy_pixel_pct FROM scene ORDER BY cloudy_pixel_pct, sensing_ts, sid OFFSET 3 LIMIT 1", "scene")
 def nth_scene(spark, d):
     return readers.nth(scenes(spark, d), 3, "cloudy_pixel_pct", "sensing_ts", "sid").select("sid", "cloudy_pixel_pct")

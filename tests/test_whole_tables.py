@@ -2,7 +2,9 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from glintframe.operators.timeline import placed
 from glintframe.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,3 +31,21 @@ def test_every_id_of_a_tile_is_listed(spark):
     o = pd.read_parquet(f"{FOLDER}/orders.parquet")
     want = o.groupby(o.o_custkey % 50).o_orderkey.agg(lambda k: ",".join(map(str, sorted(set(k))))).to_dict()
     assert {r["tile"]: r["sids"] for r in registry.QUERIES["distinct_sorted_ids_all"](spark, FOLDER).collect()} == want
+
+
+def test_every_scene_has_its_place_and_missing_angles_are_last(spark):
+    rows = sorted(registry.QUERIES["scenes_by_alpha_all"](spark, FOLDER).collect(), key=lambda r: r["place"])
+    o = pd.read_parquet(f"{FOLDER}/orders.parquet")
+    assert [r["place"] for r in rows] == list(range(1, len(o) + 1)) and {r["sid"] for r in rows} == set(o.o_orderkey)
+    order = [(r["alpha"] is None, r["alpha"] or 0.0, r["sid"]) for r in rows]
+    assert order == sorted(order)
+    assert sum(r["alpha"] is None for r in rows) == (o.o_orderstatus == "P").sum() > 0
+
+
+@pytest.mark.parametrize("rows", [0, 1, 700])
+def test_places_with_ties_and_missing_values(spark, rows):
+    values = [(k, None if k % 3 == 0 else float(k % 5)) for k in range(rows)]
+    df = spark.createDataFrame(values, "k int, x double").repartition(3)
+    got = {r["k"]: r["place"] for r in placed(df, F.asc_nulls_last("x"), F.asc("k")).collect()}
+    order = sorted(values, key=lambda v: (v[1] is None, v[1] or 0.0, v[0]))
+    assert got == {k: n for n, (k, _) in enumerate(order, 1)}
