@@ -236,6 +236,19 @@ def scenes_of_sites(spark, d):
     return readers.resolved_sites(sites, scenes).select(F.col("row_index").alias("site_id"), F.col("sid").cast("bigint").alias("sid"))
 
 
+# The query above has 500 sites at any scale, as its SQL says; this places the scenes over all sites.
+@query("scenes_of_all_sites", """
+WITH k AS (SELECT min(site_id) AS lo, count(*) AS n FROM site)
+SELECT site_id, event_id AS sid FROM events CROSS JOIN k JOIN site ON lo + event_id % n = site_id AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'""", "site")
+def scenes_of_all_sites(spark, d):
+    every = view(spark, d, "site")
+    sites = every.select(F.col("site_id").alias("row_index"), F.col("site_id").cast("double").alias("lon"), F.lit(0.0).alias("lat"), F.lit("2024-01-05").cast("date").alias("start"), F.lit("2024-01-08").cast("date").alias("end_exclusive"), F.lit(None).cast("array<string>").alias("system_index"))
+    place = (F.col("lo") + F.col("event_id") % F.col("n")).cast("double")
+    events = table(spark, d, "events").join(F.broadcast(every.agg(F.min("site_id").alias("lo"), F.count("*").alias("n"))))  # one row
+    scenes = events.select(F.col("event_id").cast("string").alias("sid"), F.col("ts").alias("sensing_ts"), place.alias("west"), place.alias("east"), F.lit(-1.0).alias("south"), F.lit(1.0).alias("north"))
+    return readers.resolved_sites(sites, scenes).select(F.col("row_index").alias("site_id"), F.col("sid").cast("bigint").alias("sid"))
+
+
 @query("group_ids")
 def group_ids(spark, d):
     return S.group_ids(view(spark, d, "site").withColumnRenamed("site_id", "ord"), buffer=1.0).select("ord", "group_id")

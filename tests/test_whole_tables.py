@@ -49,3 +49,12 @@ def test_places_with_ties_and_missing_values(spark, rows):
     got = {r["k"]: r["place"] for r in placed(df, F.asc_nulls_last("x"), F.asc("k")).collect()}
     order = sorted(values, key=lambda v: (v[1] is None, v[1] or 0.0, v[0]))
     assert got == {k: n for n, (k, _) in enumerate(order, 1)}
+
+
+def test_scenes_are_found_for_sites_of_the_whole_table(spark):
+    sites = sorted(pd.read_parquet(f"{FOLDER}/customer.parquet").c_custkey)
+    e = pd.read_parquet(f"{FOLDER}/events.parquet")
+    e = e[(e.ts >= "2024-01-05") & (e.ts < "2024-01-08")]
+    want = {(sites[0] + k % len(sites), k) for k in e.event_id}
+    rows = registry.QUERIES["scenes_of_all_sites"](spark, FOLDER).collect()
+    assert len(rows) == len(want) and {(r["site_id"], r["sid"]) for r in rows} == want
