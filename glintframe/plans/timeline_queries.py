@@ -254,10 +254,20 @@ def group_ids(spark, d):
     return S.group_ids(view(spark, d, "site").withColumnRenamed("site_id", "ord"), buffer=1.0).select("ord", "group_id")
 
 
+def members(o: DataFrame) -> DataFrame:
+    o = o.groupBy("structure_id").agg(F.array_sort(F.collect_list("system_index")).alias("m"))
+    return o.select("structure_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ";").alias("members"))
+
+
 @query("group_members", "SELECT structure_id, string_agg(CAST(system_index AS VARCHAR), ';' ORDER BY system_index) AS members FROM obs WHERE event_type = 'error' GROUP BY 1", "obs")
 def group_members(spark, d):
-    o = obs(spark, d).where("event_type = 'error'").groupBy("structure_id").agg(F.array_sort(F.collect_list("system_index")).alias("m"))
-    return o.select("structure_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ";").alias("members"))
+    return members(obs(spark, d).where("event_type = 'error'"))
+
+
+# The query above groups the errors, as its SQL says; this groups all observations.
+@query("group_members_all", "SELECT structure_id, string_agg(CAST(system_index AS VARCHAR), ';' ORDER BY system_index) AS members FROM obs GROUP BY 1", "obs")
+def group_members_all(spark, d):
+    return members(obs(spark, d))
 
 
 @query("points_kept", "SELECT structure_id, count(*) AS n FROM obs WHERE event_type <> 'click' GROUP BY 1", "obs")

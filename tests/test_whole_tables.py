@@ -58,3 +58,9 @@ def test_scenes_are_found_for_sites_of_the_whole_table(spark):
     want = {(sites[0] + k % len(sites), k) for k in e.event_id}
     rows = registry.QUERIES["scenes_of_all_sites"](spark, FOLDER).collect()
     assert len(rows) == len(want) and {(r["site_id"], r["sid"]) for r in rows} == want
+
+
+def test_all_observations_of_a_structure_are_members(spark):
+    e = pd.read_parquet(f"{FOLDER}/events.parquet")
+    want = e.groupby("user_id").event_id.agg(lambda k: ";".join(map(str, sorted(k)))).to_dict()
+    assert {r["structure_id"]: r["members"] for r in registry.QUERIES["group_members_all"](spark, FOLDER).collect()} == want
