@@ -6,11 +6,15 @@ whatever the input's size, goes to the driver. There the configuration program
 
     minimise sum of x_c  subject to  sum of x_c * (pieces of length l in c) = number of pieces of length l
 
-is solved over configurations c (multisets of lengths that fit one sequence): multiplicative weights on
-the lengths (heavier while a length is behind its share) price configurations through a knapsack dynamic
-program over the capacity. Each step's multiplicity is rounded down to whole pieces, and what the steps
-leave over is placed best-fit decreasing on the histogram. The plan is a table of intervals,
-(length, ranks) -> (sequence, offset), whose size depends on the number of lengths, not of pieces.
+is solved over configurations c (multisets of lengths that fit one sequence). Prices on the lengths, their
+sizes at first, go through an exact knapsack dynamic program over the capacity; it gives for every length
+its best configuration, and the price of all pieces over the best configuration's worth is a lower bound
+for every packing. If a covering by these prices is within `tolerance` of the bound, it is kept; else
+multiplicative weights run (prices fall exponentially in the share covered, in ever smaller steps), which
+better both bound and solution until they meet or the work is done. The fractional solution is rounded
+down to whole sequences, and what rounding leaves over is placed best-fit decreasing, into their free ends
+first. The plan is a table of intervals, (length, ranks) -> (sequence, offset), whose size depends on the
+number of lengths, not of pieces.
 Pieces get their rank within their length from (length, salt) counts, so a length held by a third of
 all rows is spread over tasks.
 
@@ -133,91 +137,158 @@ def _cut(path: str, capacity: int):
     return run
 
 
-def knapsack(value: np.ndarray, capacity: int, grid: int) -> list[int]:
-    """Lengths, with repeats, of nearly the largest total value within `capacity`; value[l], 0 where none.
+def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """best[c]: the largest total value of lengths (repeats allowed) that fit into c, for every c up to the capacity."""
+    best = np.zeros(capacity + 1)
+    for length, v in zip(lengths.tolist(), value.tolist()):
+        if 2 * length > capacity:
+            np.maximum(best[length:], best[:capacity + 1 - length] + v, out=best[length:])
+            continue
+        # Along c, c + length, c + 2 length, ...: a running maximum less the value of the repeats.
+        rows = -(-(capacity + 1) // length)
+        padded = np.zeros(rows * length)
+        padded[:capacity + 1] = best
+        gain = (np.arange(rows) * v)[:, None]
+        best = (np.maximum.accumulate(padded.reshape(rows, length) - gain, axis=0) + gain).ravel()[:capacity + 1]
+    return np.maximum.accumulate(best)
 
-    Dynamic program over the capacity in steps of `grid`, lengths rounded up to it, so the answer fits.
+
+def openings(best: np.ndarray, lengths: np.ndarray, value: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """choice[c]: a length that an optimum for c can begin with, 0 where nothing fits.
+
+    Of several such lengths one is drawn in proportion to its waiting mass, for each c anew, so that the
+    configurations read off one table differ.
     """
-    units = capacity // grid
-    padded = np.zeros((units + 1, grid))
-    padded[1:].flat[:capacity] = value[1:]
-    inside = padded.argmax(axis=1)
-    worth = padded[np.arange(units + 1), inside]
-    length = (np.arange(units + 1) - 1) * grid + inside + 1
-    sizes = np.flatnonzero(worth[1:] > 0) + 1
-    gain = worth[sizes]
-    best = np.zeros(units + 1)
-    choice = np.zeros(units + 1, dtype=np.int64)
-    for c in range(int(sizes[0]) if len(sizes) else units + 1, units + 1):
-        n = int(np.searchsorted(sizes, c, side="right"))
-        total = best[c - sizes[:n]] + gain[:n]
-        k = int(total.argmax())
-        best[c], choice[c] = best[c - 1], 0
-        if total[k] > best[c]:
-            best[c], choice[c] = total[k], sizes[k]
-    out, c = [], units
-    while c > 0:
-        if choice[c]:
-            out.append(int(length[choice[c]]))
-        c -= int(choice[c]) or 1
-    return out
-
-
-def configurations(histogram: dict[int, int], capacity: int, steps: int = 4096, eta: float = 4.0, grid: int = 16) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """(configuration, multiplicity) pairs by multiplicative weights, and the pieces left over.
-
-    A length's weight is its size, the dual value of a perfect packing, times a factor exponential in the
-    share of it that still waits. Each step prices one configuration, closes its gap with the longest
-    waiting piece that fits in place of its shortest, and uses it as often as whole pieces allow.
+    capacity = len(best) - 1
+    noise = -np.log(-np.log(rng.random(2 * capacity + 2)))
+    shift = rng.integers(0, capacity + 1, len(lengths))
+    floor = best * (1 - 1e-9)
+    top, choice = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, dtype=np.int64)
+    for length, v, g, s in zip(lengths.tolist(), value.tolist(), np.log(mass).tolist(), shift.tolist()):
+        score = noise[s + length:s + capacity + 1] + g
+        better = (best[:capacity + 1 - length] + v >= floor[length:]) & (score > top[length:])
+        top[length:][better] = score[better]
+        choice[length:][better] = length
+    return choice
+
+
+class Program:
+    """The configuration program of a histogram: prices, fractional solution `x`, its value and the dual bound."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int, tolerance: float = 0.002, slack: float = 0.002, work: int = 120_000, seed: int = 1):
+        self.capacity, self.slack, self.rng = capacity, slack, np.random.default_rng(seed)
+        self.lengths = np.array(sorted(histogram), dtype=np.int64)
+        self.n = np.array([histogram[x] for x in self.lengths.tolist()], dtype=np.float64)
+        self.bound, self.prices = 0.0, self.lengths / capacity
+        self.calls = max(16, work // (len(self.lengths) + 30))  # knapsacks left to the weights
+        self.dual(self.prices)
+        self.x, self.value = self.cover(self.prices)
+        eta = 4.0
+        while self.value > (1 + tolerance) * self.bound and self.calls > 0:
+            for x, value in (self.weigh(self.lengths / capacity, eta), self.cover(self.prices)):
+                if value < self.value:
+                    self.x, self.value = x, value
+            eta *= 4
+
+    def dual(self, y: np.ndarray) -> float:
+        """The worth of the best configuration under prices y; n . y over it bounds every packing from below."""
+        worth = float(knapsack(self.lengths, y, self.capacity)[self.capacity])
+        bound = float(self.n @ y) / worth
+        if bound > self.bound:
+            self.bound, self.prices = bound, y
+        return worth
+
+    def sweep(self, y: np.ndarray, room: np.ndarray, least: float, x: dict) -> float:
+        """One knapsack, and what its configurations cover of `room`; 0.0 if none is worth `least`.
+
+        Every waiting length, longest first, has its best configuration read off the table; the ones within
+        `slack` of the best are used as far as room goes, whole times where it is once at least.
+        """
+        waiting = np.flatnonzero(room > 1e-9)
+        lengths, value = self.lengths[waiting], y[waiting]
+        best = knapsack(lengths, value, self.capacity)
+        if best[self.capacity] < least:
+            return 0.0
+        choice = openings(best, lengths, value, room[waiting] * lengths, self.rng)
+        worth = value + best[self.capacity - lengths]
+        parts = [lengths[worth >= (1 - self.slack) * best[self.capacity]][::-1]]
+        free = self.capacity - parts[0]
+        while choice[free].any():
+            parts.append(choice[free])
+            free = free - parts[-1]
+        left = dict(zip(lengths.tolist(), room[waiting].tolist()))
+        total = 0.0
+        for row in np.stack(parts, axis=1).tolist():
+            config: dict[int, int] = {}
+            for length in row:
+                if length:
+                    config[length] = config.get(length, 0) + 1
+            times = min(left[length] / a for length, a in config.items())
+            times = float(int(times)) if times >= 1 else times
+            if times > 1e-9:
+                for length, a in config.items():
+                    left[length] -= times * a
+                key = tuple(sorted(config.items(), reverse=True))
+                x[key] = x.get(key, 0.0) + times
+                total += times
+        room[waiting] = [left[length] for length in lengths.tolist()]
+        return total
+
+    def cover(self, y: np.ndarray) -> tuple[dict, float]:
+        """A solution by fixed prices: sweeps until every length is covered (covered lengths lose their price)."""
+        room, x, total = self.n.copy(), {}, 0.0
+        while (room > 1e-9).any():
+            total += self.sweep(y, room, 0.0, x)
+        return x, total
+
+    def weigh(self, start: np.ndarray, eta: float) -> tuple[dict, float]:
+        """A solution by multiplicative weights: a length's price falls exponentially in the share of it covered.
+
+        Each round covers at most 1 / (4 eta) of any length, by configurations near the round's best. The prices'
+        mean, each round's scaled to a feasible dual, is tried as a dual of its own.
+        """
+        f, x, total, mean = np.zeros(len(self.n)), {}, 0.0, np.zeros(len(self.n))
+        y = start
+        while (f < 1 - 1e-9).any() and self.calls > 0:
+            y = start * np.exp(-eta * f)
+            worth = self.dual(y)
+            mean += y / worth
+            self.calls -= 1
+            room = np.where(f < 1 - 1e-9, np.minimum(0.25 / eta, 1 - f), 0.0) * self.n
+            before, least = room.copy(), 0.99 * worth
+            while (room > 1e-9).any() and self.calls > 0:
+                taken = self.sweep(y, room, least, x)
+                self.calls -= 1
+                total += taken
+                if not taken:
+                    break
+            if (room == before).all():  # only covered lengths reach the best: they lose their price
+                start = np.where(f < 1 - 1e-9, start, 0.9 * start)
+            f += (before - room) / self.n
+        self.dual(mean)
+        return x, total if (f >= 1 - 1e-6).all() else np.inf
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int], Program | None]:
+    """The program's solution rounded down, (configuration, multiplicity) pairs; the pieces left over; the program."""
+    if not histogram:
+        return [], {}, None
+    program = Program(histogram, capacity)
+    left, plan = dict(histogram), []
+    for config, x in sorted(program.x.items(), key=lambda p: (-p[1], p[0])):
+        times = min(int(x + 1e-6), *(left[length] // a for length, a in config))
+        if times:
+            plan.append((dict(config), times))
+            for length, a in config:
+                left[length] -= a * times
+    return plan, {length: n for length, n in left.items() if n}, program
+
+
+def best_fit(histogram: dict[int, int], capacity: int, opened: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing on a histogram, into `opened` sequences first: equal open ones are one group.
+
+    All sequences are returned, the opened ones too.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        left[length] = n
-    whole = np.maximum(left, 1).astype(np.float64)
-    sizes = np.arange(capacity + 1) / capacity
-    plan: list[tuple[dict[int, int], int]] = []
-    for _ in range(steps):
-        if not left.any():
-            break
-        # The factor is mild, so that a full sequence stays worth more than one with waiting lengths.
-        value = np.where(left > 0, sizes * (1 + 0.02 * np.exp(eta * (left / whole - 1))), 0.0)
-        room, config = capacity, {}
-
-        def take(length: int) -> None:
-            nonlocal room
-            config[length] = config.get(length, 0) + 1
-            left[length] -= 1
-            room -= length
-
-        for length in knapsack(value, capacity, grid):
-            if left[length] > 0:
-                take(length)
-        while True:
-            fits = np.flatnonzero(left[:room + 1] > 0)
-            if not len(fits):
-                break
-            take(int(fits[-1]))
-        least = min(config)
-        longer = np.flatnonzero(left[:least + room + 1] > 0)
-        if room and len(longer) and longer[-1] > least:
-            config[least] -= 1
-            left[least] += 1
-            room += least
-            take(int(longer[-1]))
-            config = {length: n for length, n in config.items() if n}
-        for length, n in config.items():
-            left[length] += n
-        if room > 0.02 * capacity:
-            break  # what is left no longer fills sequences: best fit takes over
-        times = min(int(left[length]) // n for length, n in config.items())
-        plan.append((config, times))
-        for length, n in config.items():
-            left[length] -= n * times
-    return plan, {int(x): int(left[x]) for x in np.flatnonzero(left)}
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on a histogram: equal open sequences are kept and filled as one group."""
     room: dict[int, list[list]] = {}  # free tokens -> [configuration, multiplicity]
     heights: list[int] = []
 
@@ -227,6 +298,8 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
             heights.insert(int(np.searchsorted(heights, free)), free)
         room[free].append([config, times])
 
+    for config, times in opened:
+        put(capacity - sum(length * a for length, a in config.items()), config, times)
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         while n:
@@ -257,8 +330,8 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[l
     Piece r of a length, from_rank <= r < next interval's, goes to sequence first_sequence +
     (r - from_rank) // each, at first_offset + length * ((r - from_rank) % each).
     """
-    plan, rest = configurations(histogram, capacity)
-    plan += best_fit(rest, capacity)
+    plan, rest, _ = configurations(histogram, capacity)
+    plan = best_fit(rest, capacity, plan)
     ranks = dict.fromkeys(histogram, 0)
     out, sequence = [], 0
     for config, times in plan:
@@ -290,13 +363,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     for length, *rest in intervals:
         by_length.setdefault(length, []).append(tuple(map(int, rest)))
     plan = spark.createDataFrame([(length, v) for length, v in by_length.items()], "length long, plan array<struct<low: bigint, each: bigint, sequence: bigint, offset: bigint>>")
+    # Ranks run through the salts of a length, so a (length, salt) group keeps the few intervals it meets: the
+    # last one that begins at or below its first rank, and those that begin inside it.
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = groups.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, "length")
+    first = F.greatest(F.size(F.filter("plan", lambda p: p["low"] <= F.col("base"))), F.lit(1))
+    last = F.size(F.filter("plan", lambda p: p["low"] < F.col("base") + F.col("n")))
+    bases = bases.select("length", "salt", "base", F.slice("plan", first, last - first + 1).alias("near"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = pieces.withColumn("nth", F.row_number().over(own) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("nth"))
-    # The interval is the last one that begins at or below the rank: intervals and ranks meet in one sort.
-    starts = plan.select("length", F.explode("plan").alias("p")).select("length", F.col("p.low").alias("low"), F.lead(F.col("p.low")).over(Window.partitionBy("length").orderBy("p.low")).alias("high"), "p.each", "p.sequence", F.col("p.offset").alias("at"))
-    placed = ranked.join(F.broadcast(starts.withColumnRenamed("length", "l")), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("low")) & (F.col("high").isNull() | (F.col("rank") < F.col("high"))))
+    placed = ranked.withColumn("p", F.element_at(F.filter("near", lambda p: p["low"] <= F.col("rank")), -1))
+    placed = placed.select("*", F.col("p.low").alias("low"), F.col("p.each").alias("each"), F.col("p.sequence").alias("sequence"), F.col("p.offset").alias("at"))
     inside = F.col("rank") - F.col("low")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(inside / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + F.col("length") * (inside % F.col("each"))).cast("long").alias("offset"))
 

@@ -39,10 +39,17 @@ def test_table_stays_bounded(monkeypatch):
 
 
 def test_knapsack_against_brute_force():
-    value = np.zeros(33)
-    value[[5, 7, 11]] = [5.0, 7.5, 10.0]
-    best = max(a * 5 + b * 7.5 + c * 10 for a in range(7) for b in range(5) for c in range(3) if 5 * a + 7 * b + 11 * c <= 32)
-    assert sum(value[x] for x in packing.knapsack(value, 32, 1)) == best
+    lengths, value = np.array([5, 7, 11, 20]), np.array([5.0, 7.5, 10.0, 23.0])
+    best = packing.knapsack(lengths, value, 32)
+    for c in range(33):
+        assert best[c] == max(a * 5 + b * 7.5 + d * 10 + e * 23 for a in range(7) for b in range(5) for d in range(3) for e in range(2) if 5 * a + 7 * b + 11 * d + 20 * e <= c)
+    choice = packing.openings(best, lengths, value, np.ones(4), np.random.default_rng(0))
+    worth = dict(zip(lengths.tolist(), value.tolist()))
+    for c in range(33):
+        total, room = 0.0, c
+        while choice[room]:
+            total, room = total + worth[choice[room]], room - choice[room]
+        assert total == best[c]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -70,12 +77,71 @@ def test_program_does_most_of_a_large_histogram():
     rng = np.random.default_rng(0)
     lengths, counts = np.unique(np.minimum(4096, 1 + rng.exponential(700, 100_000)).astype(int), return_counts=True)
     histogram = dict(zip(lengths.tolist(), (counts * 50).tolist()))
-    plan, rest = packing.configurations(histogram, 4096)
+    plan, rest, program = packing.configurations(histogram, 4096)
     assert sum(rest.values()) < 0.1 * sum(histogram.values())
+    assert program.value <= 1.002 * program.bound
     _, n = packing.packing_plan(histogram)
     assert n <= 1.002 * sum(k * v for k, v in histogram.items()) / 4096 + 1
 
 
+def pieces_of(plan):
+    return sum(times * sum(config.values()) for config, times in plan)
+
+
+#: Histograms and the fewest sequences any packing needs.
+KNOWN = {
+    "thirds": ({1500: 900, 1200: 900, 1396: 900}, 900),
+    "one length": ({1500: 10_000}, 5000),
+    "two a sequence": ({900: 5000, 1700: 5000, 2500: 5000}, 7500),
+    "halves": ({x: 100 for x in range(2100, 2201)}, 10_100),
+    "pairs": ({x: 20 for x in range(1, 4097)}, 40_970),
+}
+
+
+@pytest.mark.parametrize("name", KNOWN)
+def test_known_optima(name):
+    histogram, fewest = KNOWN[name]
+    plan, rest, program = packing.configurations(histogram, 4096)
+    assert program.bound <= fewest + 1e-6
+    assert pieces_of(plan) >= 0.95 * sum(histogram.values())
+    _, n = packing.packing_plan(histogram)
+    assert fewest <= n <= fewest + len(histogram)
+    if len(histogram) <= 3:
+        assert n == fewest
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_count_against_the_dual_bound(seed):
+    rng = np.random.default_rng(seed)
+    m = int(rng.choice([4, 12, 40]))
+    histogram = {int(x): int(n) for x, n in zip(rng.integers(300, 2400, m), rng.integers(100, 5000, m))}
+    plan, rest, program = packing.configurations(histogram, 4096)
+    assert pieces_of(plan) + sum(rest.values()) == sum(histogram.values())
+    assert pieces_of(plan) >= 0.9 * sum(histogram.values())
+    _, n = packing.packing_plan(histogram)
+    assert program.bound <= n + 1e-6
+    assert n <= 1.04 * program.bound + len(histogram)  # the bound itself may lie below the optimum
+
+
+def test_dual_bound_against_the_program_solved_by_enumeration():
+    """Two lengths: the program over all configurations is small enough for a search on its dual's corners."""
+    histogram, capacity = {3: 70, 5: 41}, 16
+    configs = [(a, b) for a in range(6) for b in range(4) if 0 < 3 * a + 5 * b <= capacity]
+    corners = []
+    rows = [*configs, (1, 0), (0, 1)]
+    rhs = [1.0] * len(configs) + [0.0, 0.0]
+    for i in range(len(rows)):
+        for j in range(i):
+            m = np.array([rows[i], rows[j]], dtype=float)
+            if abs(np.linalg.det(m)) > 1e-9:
+                y = np.linalg.solve(m, [rhs[i], rhs[j]])
+                if (y >= -1e-9).all() and all(np.dot(c, y) <= 1 + 1e-9 for c in configs):
+                    corners.append(70 * y[0] + 41 * y[1])
+    program = packing.Program(histogram, capacity)
+    assert program.bound <= max(corners) + 1e-6
+    assert max(corners) - 1e-6 <= program.value <= 1.02 * max(corners)
+
+
 def test_documents(documents):
     rows = [(i, "some words here " * (i % 40)) for i in range(120)] + [(200, None), (201, ""), (202, "word " * 20_000), (5, "twice"), (5, "twice"), (None, "x"), (203, "日本 " * 10)]
     out = packing.pack(documents(rows), capacity=512).collect()
