@@ -30,7 +30,7 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 PASSAGE = 64  # words
 EACH = (2500, 2500)  # labelled documents of label 0 and of label 1 in the fit
-LONGEST = 50_000  # characters of a document in the fit
+LONGEST = 50_000  # characters of a document in the fit; runs of longer ones
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 40, 64, 0.01
 

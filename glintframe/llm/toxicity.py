@@ -6,10 +6,11 @@ largest and the mean over its character n-grams (3 to 5, with word borders) of a
 Two gated recurrent passes, one from each side, read a window; attention pools their states, a
 logistic unit scores the pool, and a document's score is that of its most toxic window.
 
-Training is numpy's: only documents carry labels, so every epoch scores all windows of the sampled
-documents and back-propagates through each document's most toxic one, through attention, both
-recurrences and down to both tables. One coordinate of each table starts from the log odds of its
-entries in the sample, the others at random.
+Training is numpy's, from random tables and weights: only documents carry labels. Every epoch scores all
+windows of the sampled documents; each document then trains on its most toxic windows and as many drawn
+by chance, through a soft maximum over their logits that sharpens epoch by epoch, and back through
+attention, both recurrences and down to both tables (Adam on the touched rows). Table rows that only a
+few documents of the sample touch stay zero, so no single document is learnt by heart.
 
 Scale: the fit reads a bounded sample of labelled documents; scoring is one pass without a shuffle.
 A word's inputs to both recurrences are computed once and kept in a bounded table, so the recurrences
@@ -36,14 +37,17 @@ from .training import Adam, labelled_sample, sigmoid
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-REJECTED = 0.5  # the pipeline drops documents from this score on
 WINDOW, STRIDE = 48, 32  # words
 EACH = (2400, 800)  # labelled documents of label 0 and of label 1 in the fit
-LONGEST = 30_000  # characters of a document in the fit
+LONGEST = 30_000  # characters of a document in the fit; runs of longer ones
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 DIM = 4  # of each table
 HIDDEN = 8
-STEPS, LEAST_EPOCHS, BATCH, RATE = 240, 6, 100, 0.02  # steps at least, epochs at least
+STEPS, BATCH, RATE = 150, 64, 0.01  # full batches at least, within the bounds of epochs
+LEAST_EPOCHS, MOST_EPOCHS = 3, 12
+TABLE_RATE = 2.0  # the tables' rate over that of the rest
+MOST_TOXIC = 3  # windows of a document in a training step: its most toxic ones, and as many others
+LEAST_DOCUMENTS = 10  # table rows met in fewer documents of the sample are not trained (fewer in small samples)
 REMEMBERED = 200_000  # words whose inputs a worker keeps
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -188,14 +192,18 @@ class Model:
     def known(self, every: set[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
         """Row numbers of all of `every`, and the rows: inputs to both recurrences; row 0 is no word."""
         if _met.get("model") is not self or len(_met["rows"]) > REMEMBERED:
-            _met.update(model=self, rows={}, inputs=np.zeros((1, 6 * HIDDEN), dtype=np.float32))
+            _met.update(model=self, rows={}, inputs=np.zeros((4096, 6 * HIDDEN), dtype=np.float32))
         rows = _met["rows"]
         new = [w for w in every if w not in rows]
         if new:
-            parts = [self.projected(self.vectors(part)["x"]).astype(np.float32) for part in in_slices(new, 4000)]
-            at = len(_met["inputs"])
-            _met["inputs"] = np.concatenate([_met["inputs"], *parts])
+            at, room = 1 + len(rows), len(_met["inputs"])
+            if at + len(new) > room:  # room at least doubles, so words are seldom copied
+                more = np.zeros((max(2 * room, at + len(new)) - room, 6 * HIDDEN), dtype=np.float32)
+                _met["inputs"] = np.concatenate([_met["inputs"], more])
             rows.update(zip(new, range(at, at + len(new))))
+            for part in in_slices(new, 4000):
+                _met["inputs"][at:at + len(part)] = self.projected(self.vectors(part)["x"])
+                at += len(part)
         return rows, _met["inputs"]
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -226,15 +234,12 @@ class Model:
         return sigmoid(best)
 
 
-def log_odds(rows_by_doc: Iterator[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Of a row's presence in documents of label 1 against label 0; 0 for rows in few documents (3 to 10)."""
-    least = min(10, max(3, len(y) // 300))
-    seen = np.zeros((2, size))
-    for rows, label in zip(rows_by_doc, y):
-        seen[int(label), np.unique(rows)] += 1
-    n = np.bincount(y.astype(int), minlength=2)
-    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    return np.where(seen.sum(axis=0) >= least, odds, 0.0)
+def frequent(rows_by_doc: Iterator[np.ndarray], size: int, least: int) -> np.ndarray:
+    """Which table rows occur in `least` documents of the sample or more."""
+    seen = np.zeros(size, dtype=np.int32)
+    for rows in rows_by_doc:
+        seen[np.unique(rows)] += 1
+    return seen >= least
 
 
 def in_slices(items: list, n: int = 10_000) -> Iterator[list]:
@@ -252,6 +257,25 @@ def all_grams(every: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(begins)
 
 
+class SparseAdam:
+    """Adam on the rows of a table that a step touches; rows that are not `live` stay as they are."""
+
+    def __init__(self, table: np.ndarray, live: np.ndarray):
+        self.table, self.live = table, live
+        self.m, self.v, self.t = np.zeros_like(table), np.zeros_like(table), np.zeros(len(table), dtype=np.int32)
+
+    def step(self, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
+        met, place = np.unique(rows, return_inverse=True)
+        sums = np.stack([np.bincount(place, weights=g, minlength=len(met)) for g in grads.T], axis=1).astype(self.table.dtype)
+        on = self.live[met]
+        met, sums = met[on], sums[on]
+        self.t[met] += 1
+        t = self.t[met][:, None]
+        self.m[met] = m = 0.9 * self.m[met] + 0.1 * sums
+        self.v[met] = v = 0.99 * self.v[met] + 0.01 * sums * sums
+        self.table[met] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+
+
 def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.0)
@@ -265,58 +289,88 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
     grams, begin = all_grams(every)
     ends = np.append(begin[1:], len(grams))
     k, p = HIDDEN, model.p
-    p["E"], p["G"] = rng.normal(0, 0.1, (WORD_ROWS, DIM)), rng.normal(0, 0.1, (GRAM_ROWS, DIM))
     none = [np.zeros(0, dtype=np.int32)]
-    p["E"][:, 0] = log_odds((rows[d] for d in docs), y, WORD_ROWS) / 3
-    p["G"][:, 0] = log_odds((np.concatenate([grams[begin[w]:ends[w]] for w in np.unique(d)] or none) for d in docs), y, GRAM_ROWS) / 3
-    signal = np.maximum(p["E"][rows, 0], np.maximum.reduceat(p["G"][grams, 0].astype(np.float32), begin))
+    least = min(LEAST_DOCUMENTS, max(2, len(docs) // 100))
+    live = {"E": frequent((rows[d] for d in docs), WORD_ROWS, least),
+            "G": frequent((np.concatenate([grams[begin[w]:ends[w]] for w in np.unique(d)] or none) for d in docs), GRAM_ROWS, least)}
     del grams, begin, ends
+    for name in "EG":  # rows that are not frequent stay zero
+        p[name] = np.zeros((len(live[name]), DIM), dtype=np.float32)
+        p[name][live[name]] = rng.normal(0, 0.1, (int(live[name].sum()), DIM))
     for side in "fb":
         p[f"W{side}"] = rng.normal(0, 0.4, (3 * DIM, 3 * k))
         p[f"b{side}"] = np.zeros(3 * k)
         p[f"U{side}"] = rng.normal(0, 0.3, (k, 3 * k))
     p |= {"A": rng.normal(0, 0.3, (2 * k, k)), "a": np.zeros(k), "w": rng.normal(0, 0.5, k), "c": rng.normal(0, 0.3, 2 * k), "d": np.zeros(1)}
-    dense = {name: v for name, v in p.items() if name not in "EG"}
-    adam = Adam(dense, RATE)
+    adam = Adam({name: v for name, v in p.items() if name not in "EG"}, RATE)
+    tables = {name: SparseAdam(p[name], live[name]) for name in "EG"}
     # All windows of all sampled documents.
-    win = [(i, s) for i, d in enumerate(docs) for s in window_starts(len(d))]
-    owner = np.array([i for i, _ in win])
-    ids = np.full((WINDOW, len(win)), -1, dtype=np.int32)
-    for j, (i, s) in enumerate(win):
-        own = docs[i][s:s + WINDOW]
+    owner = np.concatenate([np.full(len(window_starts(len(d))), i) for i, d in enumerate(docs)])
+    ids = np.full((WINDOW, len(owner)), -1, dtype=np.int32)
+    for j, (i, start) in enumerate((i, start) for i, d in enumerate(docs) for start in window_starts(len(d))):
+        own = docs[i][start:start + WINDOW]
         ids[:len(own), j] = own
     mask = ids >= 0
     ids = np.maximum(ids, 0)
     of_doc = np.searchsorted(owner, np.arange(len(docs) + 1))
-    batch = min(BATCH, max(16, len(docs) // 12))
-    epochs = max(LEAST_EPOCHS, -(-STEPS * batch // len(docs)))
+    batch = min(BATCH, max(8, len(docs) // 24))
+    epochs = min(MOST_EPOCHS, max(LEAST_EPOCHS, -(-STEPS * BATCH // len(docs))))
+    logits = np.zeros(len(owner))
     for epoch in range(epochs):
         adam.rate = RATE * (1 - epoch / epochs) + 0.001
-        if epoch == 0:  # before anything is learnt, the window with the largest log odds stands for the document
-            logits = np.concatenate([np.where(mask[:, lo:lo + 2048], signal[ids[:, lo:lo + 2048]], -9.0).max(axis=0) for lo in range(0, len(win), 2048)])
-        else:
+        if epoch:
             fast = Model()
             fast.p = {name: v.astype(np.float32) for name, v in p.items() if name not in "EG"}
             a = np.concatenate([model.projected(model.vectors(part)["x"]).astype(np.float32) for part in in_slices(every)])
-            logits = np.concatenate([fast.windows(a, ids[:, lo:lo + 1024], mask[:, lo:lo + 1024])["logit"] for lo in range(0, len(win), 1024)])
+            logits = np.concatenate([fast.windows(a, ids[:, lo:lo + 1024], mask[:, lo:lo + 1024])["logit"] for lo in range(0, len(owner), 1024)])
             del a
-        chosen = np.array([lo + int(np.argmax(logits[lo:hi])) for lo, hi in zip(of_doc, of_doc[1:])])
+        # Of each document the most toxic windows so far, and as many others by chance.
+        chosen = []
+        for lo, hi in zip(of_doc, of_doc[1:]):
+            own = rng.permutation(np.arange(lo, hi))
+            chosen.append(own[np.argsort(-logits[own], kind="stable")][:MOST_TOXIC] if epoch else own[:0])
+            rest = own[~np.isin(own, chosen[-1])]
+            chosen[-1] = np.concatenate([chosen[-1], rest[:2 * MOST_TOXIC - len(chosen[-1])]])
         order = rng.permutation(len(docs))
+        sharpness = 0.5 + 2.5 * epoch / epochs
         for at in range(0, len(order), batch):
             part = order[at:at + batch]
-            train_step(model, adam, every, ids[:, chosen[part]], mask[:, chosen[part]], y[part].astype(np.float64))
+            own = np.concatenate([chosen[i] for i in part])
+            of = np.repeat(np.arange(len(part)), [len(chosen[i]) for i in part])
+            train_step(model, adam, tables, every, ids[:, own], mask[:, own], of, y[part].astype(np.float64), sharpness)
     for name in p:
         p[name] = p[name].astype(np.float32)
     return model
 
 
-def train_step(model: Model, adam: Adam, every: list[bytes], ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> None:
-    p, k = model.p, HIDDEN
+def train_step(model: Model, adam: Adam, tables: dict[str, SparseAdam], every: list[bytes], ids: np.ndarray, mask: np.ndarray, of: np.ndarray, y: np.ndarray, sharpness: float) -> None:
+    """One step on the documents 0 .. len(y) - 1; window j belongs to document of[j] (ascending, one at least)."""
     met, local = np.unique(ids, return_inverse=True)
-    local = local.reshape(ids.shape)
-    v = model.vectors([every[w] for w in met])
+    found = [every[w] for w in met]
+    grads, dx, v = gradients(model, found, local.reshape(ids.shape), mask, of, y, sharpness)
+    adam.step({name: np.clip(g, -1, 1) for name, g in grads.items()})
+    # Tables: each word's row, the n-grams that gave the largest value, and all for the mean.
+    tables["E"].step(v["rows"], dx[:, :DIM], TABLE_RATE * adam.rate)
+    word = np.repeat(np.arange(len(met)), v["n"])
+    dg = (v["g"] == v["top"][word]) * dx[word, DIM:2 * DIM] + dx[word, 2 * DIM:] / v["n"][word][:, None]
+    tables["G"].step(v["grams"], dg, TABLE_RATE * adam.rate)
+
+
+def gradients(model: Model, found: list[bytes], local: np.ndarray, mask: np.ndarray, of: np.ndarray, y: np.ndarray, sharpness: float) -> tuple[dict, np.ndarray, dict]:
+    """Of the mean cross-entropy: dense parameters', the word inputs', and what model.vectors(found) gave.
+
+    A document's logit is the soft maximum log(mean(exp(sharpness * logit of each window))) / sharpness.
+    """
+    p, k = model.p, HIDDEN
+    v = model.vectors(found)
     f = model.windows(model.projected(v["x"]), local, mask, keep=True)
-    ds = (sigmoid(f["logit"]) - y) / len(y)
+    begins = np.searchsorted(of, np.arange(len(y)))
+    n = np.diff(np.append(begins, len(of)))
+    scaled = sharpness * f["logit"]
+    e = np.exp(scaled - np.maximum.reduceat(scaled, begins)[of])
+    sums = np.add.reduceat(e, begins)
+    logit = (np.log(sums / n) + np.maximum.reduceat(scaled, begins)) / sharpness
+    ds = ((sigmoid(logit) - y) / len(y))[of] * e / sums[of]
     grads = {"c": f["z"].T @ ds, "d": np.array([ds.sum()])}
     dz = np.outer(ds, p["c"])
     datt = (f["both"] * dz[None]).sum(axis=2)
@@ -327,19 +381,13 @@ def train_step(model: Model, adam: Adam, every: list[bytes], ids: np.ndarray, ma
     d = f["att"][:, :, None] * dz[None] + du @ p["A"].T
     da_f, grads["Uf"] = model.unroll(d[:, :, :k], f["ft"], mask, p["Uf"])
     da_b, grads["Ub"] = model.unroll(d[::-1, :, k:], f["bt"], mask[::-1], p["Ub"])
-    dx = np.zeros_like(v["x"])
+    dx = np.zeros(v["x"].shape)
     for side, da, where in (("f", da_f, local), ("b", da_b, local[::-1])):
-        sums = np.zeros((len(met), 3 * k))
-        np.add.at(sums, where.ravel(), da.reshape(-1, 3 * k))
-        grads[f"W{side}"], grads[f"b{side}"] = v["x"].T @ sums, sums.sum(axis=0)
-        dx += sums @ p[f"W{side}"].T
-    adam.step({name: np.clip(g, -1, 1) for name, g in grads.items()})
-    # The tables take plain steps: each word's row, the n-grams that gave the largest value, and all for the mean.
-    rate = 5 * adam.rate
-    np.add.at(p["E"], v["rows"], -rate * dx[:, :DIM])
-    word = np.repeat(np.arange(len(met)), v["n"])
-    dg = (v["g"] == v["top"][word]) * dx[word, DIM:2 * DIM] + dx[word, 2 * DIM:] / v["n"][word][:, None]
-    np.add.at(p["G"], v["grams"], -rate * dg)
+        place = where.ravel()
+        total = np.stack([np.bincount(place, weights=g, minlength=len(found)) for g in da.reshape(-1, 3 * k).T], axis=1)
+        grads[f"W{side}"], grads[f"b{side}"] = v["x"].T @ total, total.sum(axis=0)
+        dx += total @ p[f"W{side}"].T
+    return grads, dx, v
 
 
 SCHEMA = "doc_id long, score double"
@@ -375,6 +423,6 @@ def op1_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored below REJECTED, all columns as they are."""
+    """Pipeline stage: documents scored below THRESHOLD, all columns as they are."""
     model = spark.sparkContext.broadcast(trained(docs, table(spark, sf_dir, "labels")))
-    return kept(docs, model, lambda scores: scores < REJECTED)
+    return kept(docs, model, lambda scores: scores < THRESHOLD)

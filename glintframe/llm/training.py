@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from .common import fold_of
 
 
+RUNS = 8  # of a long text in a sample
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, each: tuple[int, int], longest: int) -> pd.DataFrame:
     """doc_id, text, y: at most `each`[y] documents of label y, none from the held-out fold.
 
     The ones with the least hash of their id are taken; labels that repeat an id count as their largest
-    value; texts of more than `longest` characters are passed over, which bounds the driver's memory
-    (sum of `each` x longest characters) and concerns the fit alone.
+    value. Of a text of more than `longest` characters `RUNS` runs, evenly spaced from its first to its last
+    character, stand for it, `longest` characters together: that bounds the driver's memory (sum of
+    `each` x longest characters) and concerns the fit alone.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold_of(F.col("doc_id"), folds) != held_out))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -24,7 +28,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for y in (0, 1):
         part = own.where(F.col("y") == y).orderBy(key, "doc_id").limit(each[y])
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
+    run = longest // RUNS
+    spread = F.concat_ws(" ", *(F.col("text").substr(F.floor((F.length("text") - run) * k / (RUNS - 1)).cast("int") + 1, F.lit(run)) for k in range(RUNS)))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.length("text") <= longest, F.col("text")).otherwise(spread).alias("text"))
     found = texts.join(F.broadcast(picked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")  # at most sum of each rows
     found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     return found.toPandas().sort_values("doc_id").reset_index(drop=True)
