@@ -1,13 +1,15 @@
 """Quality scores by attention-based multiple-instance learning.
 
 A document is a bag of passages of `PASSAGE` words; every passage of the whole text is encoded. A
-passage's inputs are shares of character classes and of word shapes (case, marks, repeats, lengths);
-a dense layer turns them into its representation h. Gated attention, softmax over the document of
+passage's inputs are the mean of its words' vectors (a hashed table, learnt), and shares of character
+classes and of word shapes (case, marks, repeats, lengths); a dense layer turns them into its
+representation h. Gated attention, softmax over the document of
 w . (tanh(V h) * sigmoid(U h)), weighs the passages, and the weighted representation is scored. Only
-documents carry labels; encoder, attention and score are trained together in numpy with Adam.
+documents carry labels; word table, encoder, attention and score are trained together in numpy with Adam.
+Table rows that only a few documents of the sample touch stay zero, so no document is learnt by heart.
 
 Scale: the fit reads a bounded sample of labelled documents (`EACH`); scoring is one pass
-with the model of a few thousand numbers in the task, without a shuffle.
+with the model, 1 MB whatever the input, broadcast, without a shuffle.
 
 Edge cases: null and empty texts are one passage without words and get a score like any; a document's
 own id, language, source and label never enter its score; without labels of both kinds the score is
@@ -17,6 +19,7 @@ the share of label 1 in the sample (0.5 without any). Other columns are not read
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_of, in_parts, kept, slices, table
-from .training import Adam, labelled_sample, sigmoid
+from .training import Adam, SparseAdam, frequent, labelled_sample, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -32,7 +35,9 @@ PASSAGE = 64  # words
 EACH = (2500, 2500)  # labelled documents of label 0 and of label 1 in the fit
 LONGEST = 50_000  # characters of a document in the fit; runs of longer ones
 HIDDEN, GATE = 24, 12
-EPOCHS, BATCH, RATE = 40, 64, 0.01
+ROWS, DIM = 1 << 15, 8  # of the word table
+LEAST_DOCUMENTS = 10  # table rows met in fewer documents of the sample are not trained (fewer in small samples)
+EPOCHS, BATCH, RATE = 20, 64, 0.01
 
 #: Character classes: 33 ASCII marks of their own, digits, small and capital letters, beyond ASCII, space, control.
 _CLASS = np.zeros(128, dtype=np.int64)
@@ -54,8 +59,16 @@ INPUTS = CLASSES + 6
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of all passages of all texts (rows x INPUTS), and the text each belongs to."""
+class Passages(NamedTuple):
+    """All passages of some texts, in order: shares (rows x INPUTS), the text each belongs to, the table row and the passage of every word."""
+
+    x: np.ndarray
+    owner: np.ndarray
+    rows: np.ndarray
+    bag: np.ndarray
+
+
+def passages(texts: list[str]) -> Passages:
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     kind = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], _WIDE)
@@ -72,7 +85,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((total, INPUTS), dtype=np.float64)
     owner = np.repeat(np.arange(len(texts)), bags)
     if not len(starts):
-        return out, owner
+        return Passages(out, owner, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
     # Characters of words, by the passage of their word.
     word_of_char = np.cumsum(~space & np.concatenate([[True], space[:-1]])) - 1
     solid = ~space
@@ -98,7 +111,16 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k, x in enumerate((np.minimum(length, 40) / 10, (capital > 1) & (capital >= letters), letters == 0, again, second)):
         out[:, CLASSES + k] = np.bincount(bag_of_word, weights=x, minlength=total) / n
     out[:, CLASSES + 5] = held / PASSAGE
-    return out, owner
+    return Passages(out, owner, ((digest * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % ROWS, bag_of_word)
+
+
+def word_means(E: np.ndarray, rows: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
+    """The mean word vector of each of n passages, zero without words; bag ascends."""
+    out = np.zeros((n, E.shape[1]))
+    if len(rows):
+        held = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]]))
+        out[bag[held]] = np.add.reduceat(E[rows], held, axis=0) / np.diff(np.append(held, len(bag)))[:, None]
+    return out
 
 
 class Model:
@@ -126,12 +148,13 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x, owner = passages(texts)
-        return self.forward(self.encode(x), owner, len(texts))["s"]
+        f = passages(texts)
+        x = np.concatenate([self.encode(f.x), word_means(self.p["E"], f.rows, f.bag, len(f.owner))], axis=1)
+        return self.forward(x, f.owner, len(texts))["s"]
 
 
 def gradients(model: Model, x: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted cross-entropy, for one batch."""
+    """Of the weighted cross-entropy, for one batch; "x" is that of the inputs."""
     p, f = model.p, model.forward(x, owner, len(y))
     ds = (f["s"] - y) * weight / weight.sum()
     out = {"c": f["z"].T @ ds, "d": np.array([ds.sum()])}
@@ -145,7 +168,7 @@ def gradients(model: Model, x: np.ndarray, owner: np.ndarray, y: np.ndarray, wei
     out |= {"V": f["h"].T @ dt, "v": dt.sum(axis=0), "U": f["h"].T @ dg, "u": dg.sum(axis=0)}
     dh = f["a"][:, None] * dz[owner] + dt @ p["V"].T + dg @ p["U"].T
     dpre = dh * (1 - f["h"] ** 2)
-    return out | {"W": x.T @ dpre, "b": dpre.sum(axis=0)}
+    return out | {"W": x.T @ dpre, "b": dpre.sum(axis=0), "x": dpre @ p["W"].T}
 
 
 def fit(texts: list[str], y: np.ndarray, share: float | None = None, seed: int = 1) -> Model:
@@ -155,24 +178,41 @@ def fit(texts: list[str], y: np.ndarray, share: float | None = None, seed: int =
     rng = np.random.default_rng(seed)
     model = Model()
     parts = [passages(texts[i:i + 200]) for i in range(0, len(texts), 200)]
-    x = np.concatenate([a for a, _ in parts])
-    owner = np.concatenate([b + 200 * i for i, (_, b) in enumerate(parts)])
+    at = np.cumsum([0, *(len(f.owner) for f in parts)])
+    x = np.concatenate([f.x for f in parts])
+    owner = np.concatenate([f.owner + 200 * i for i, f in enumerate(parts)])
+    rows = np.concatenate([f.rows for f in parts])
+    bag = np.concatenate([f.bag + at[i] for i, f in enumerate(parts)])
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = model.encode(x)
-    model.p = {"W": rng.normal(0, INPUTS**-0.5, (INPUTS, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "v": np.zeros(GATE), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "u": np.zeros(GATE), "w": rng.normal(0, GATE**-0.5, GATE), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
+    width = INPUTS + DIM
+    model.p = {"W": rng.normal(0, width**-0.5, (width, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "v": np.zeros(GATE), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "u": np.zeros(GATE), "w": rng.normal(0, GATE**-0.5, GATE), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
+    begins = np.searchsorted(owner, np.arange(len(y) + 1))
+    words = np.searchsorted(bag, np.arange(len(owner) + 1))  # first word of each passage
+    live = frequent((rows[words[a]:words[b]] for a, b in zip(begins, begins[1:])), ROWS, min(LEAST_DOCUMENTS, max(2, len(y) // 100)))
+    table = np.zeros((ROWS, DIM), dtype=np.float32)
+    table[live] = rng.normal(0, 0.1, (int(live.sum()), DIM))
+    steps = SparseAdam(table, live)
     share = float(y.mean()) if share is None else share
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     adam = Adam(model.p, RATE)
-    begins = np.searchsorted(owner, np.arange(len(y) + 1))
     for epoch in range(EPOCHS):
         adam.rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             part = np.sort(order[at:at + BATCH])
-            rows = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in part])
+            those = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in part])
             own = np.repeat(np.arange(len(part)), begins[part + 1] - begins[part])
-            grads = gradients(model, x[rows], own, y[part].astype(np.float64), weight[part])
+            n = words[those + 1] - words[those]
+            near = np.repeat(np.arange(len(those)), n)  # the passage, of this batch, of each word
+            place = rows[np.repeat(words[those] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            inputs = np.concatenate([x[those], word_means(table, place, near, len(those))], axis=1)
+            grads = gradients(model, inputs, own, y[part].astype(np.float64), weight[part])
+            dx = grads.pop("x")[:, INPUTS:] / np.maximum(n, 1)[:, None]
             adam.step({k: g + (1e-4 * model.p[k] if k in "WVUwc" else 0) for k, g in grads.items()})
+            if len(place):
+                steps.step(place, dx[near], adam.rate)
+    model.p["E"] = table
     return model
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, in_parts, kept, slices, table
 from .shingles import words
-from .training import Adam, labelled_sample, sigmoid
+from .training import Adam, SparseAdam, frequent, labelled_sample, sigmoid
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -234,14 +234,6 @@ class Model:
         return sigmoid(best)
 
 
-def frequent(rows_by_doc: Iterator[np.ndarray], size: int, least: int) -> np.ndarray:
-    """Which table rows occur in `least` documents of the sample or more."""
-    seen = np.zeros(size, dtype=np.int32)
-    for rows in rows_by_doc:
-        seen[np.unique(rows)] += 1
-    return seen >= least
-
-
 def in_slices(items: list, n: int = 10_000) -> Iterator[list]:
     return (items[i:i + n] for i in range(0, len(items), n))
 
@@ -257,25 +249,6 @@ def all_grams(every: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(begins)
 
 
-class SparseAdam:
-    """Adam on the rows of a table that a step touches; rows that are not `live` stay as they are."""
-
-    def __init__(self, table: np.ndarray, live: np.ndarray):
-        self.table, self.live = table, live
-        self.m, self.v, self.t = np.zeros_like(table), np.zeros_like(table), np.zeros(len(table), dtype=np.int32)
-
-    def step(self, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
-        met, place = np.unique(rows, return_inverse=True)
-        sums = np.stack([np.bincount(place, weights=g, minlength=len(met)) for g in grads.T], axis=1).astype(self.table.dtype)
-        on = self.live[met]
-        met, sums = met[on], sums[on]
-        self.t[met] += 1
-        t = self.t[met][:, None]
-        self.m[met] = m = 0.9 * self.m[met] + 0.1 * sums
-        self.v[met] = v = 0.99 * self.v[met] + 0.01 * sums * sums
-        self.table[met] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
-
-
 def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.0)

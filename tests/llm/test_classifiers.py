@@ -201,7 +201,7 @@ def test_quality_held_out():
 def test_quality_gradients():
     rng = np.random.default_rng(1)
     model = quality.fit(["a b c", "A!! B!!"] * 4, np.array([1, 0] * 4))
-    x, owner = rng.normal(size=(7, quality.INPUTS)), np.array([0, 0, 0, 1, 1, 2, 2])
+    x, owner = rng.normal(size=(7, quality.INPUTS + quality.DIM)), np.array([0, 0, 0, 1, 1, 2, 2])
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
 
     def loss():
@@ -209,7 +209,7 @@ def test_quality_gradients():
         return float((-(y * np.log(s) + (1 - y) * np.log(1 - s)) * weight).sum() / weight.sum())
 
     for name, g in quality.gradients(model, x, owner, y, weight).items():
-        flat = model.p[name].reshape(-1)
+        flat = x.reshape(-1) if name == "x" else model.p[name].reshape(-1)
         for at in rng.integers(0, flat.size, 5):
             old = flat[at]
             flat[at] = old + 1e-5
@@ -220,8 +220,44 @@ def test_quality_gradients():
             assert (up - down) / 2e-5 == pytest.approx(np.asarray(g).reshape(-1)[at], abs=1e-6)
 
 
+def test_quality_against_a_plain_network():
+    """Passage by passage, word by word."""
+    model = quality.fit(*quality_documents(80))
+    p = model.p
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    texts, _ = quality_documents(12, seed=9)
+    texts += ["", "one", "w " * 64, "w " * 65]
+    for text, score in zip(texts, model.scores(texts)):
+        found, hs = text.split(), []
+        for at in range(0, max(1, len(found)), quality.PASSAGE):
+            passage = " ".join(found[at:at + quality.PASSAGE])
+            f = quality.passages([passage])
+            own = np.mean([p["E"][r] for w in passage.split() for r in quality.passages([w]).rows], axis=0) if passage else np.zeros(quality.DIM)
+            x = f.x[0].copy()
+            if at and found[at - 1:at] and found[at] == found[at - 1]:  # repeats look across the border
+                x[quality.CLASSES + 3] += 1 / len(passage.split())
+            for k in range(2):
+                if at >= 2 and at + k < len(found) and found[at + k] == found[at + k - 2]:
+                    x[quality.CLASSES + 4] += 1 / len(passage.split())
+            hs.append(np.tanh(np.concatenate([(x - model.mean) / model.scale, own]) @ p["W"] + p["b"]))
+        e = np.exp([(np.tanh(h @ p["V"] + p["v"]) * sig(h @ p["U"] + p["u"])) @ p["w"] for h in hs])
+        assert score == pytest.approx(sig(sum(w * h for w, h in zip(e / e.sum(), hs)) @ p["c"] + p["d"][0]), abs=1e-6)
+
+
+def test_quality_learns_words():
+    """Texts of one shape that only their words tell apart."""
+    def some(n, seed):
+        rng = random.Random(seed)
+        y = [int(rng.random() < 0.5) for _ in range(n)]
+        return [" ".join(rng.choice(("mota", "neri", "vesh") if v and rng.random() < 0.3 else ("luko", "sami", "dote")) for _ in range(rng.randrange(20, 150))) for v in y], np.array(y)
+    model = quality.fit(*some(200, 1))
+    texts, y = some(100, 2)
+    assert ((model.scores(texts) >= 0.5) == y).mean() >= 0.95
+
+
 def test_passages_cut_at_words():
-    x, owner = quality.passages(["w " * 130, "", "one"])
+    x, owner, rows, bag = quality.passages(["w " * 130, "", "one"])
+    assert bag.tolist() == [0] * 64 + [1] * 64 + [2] * 2 + [4] and len(set(rows.tolist())) == 2
     assert owner.tolist() == [0, 0, 0, 1, 2] and x[:, -1].tolist() == [1.0, 1.0, 2 / 64, 0.0, 1 / 64]
 
 
