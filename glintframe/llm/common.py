@@ -29,6 +29,16 @@ def checkpointed(df: DataFrame, gathered: bool = False) -> DataFrame:
     return cut(df)
 
 
+def salted_join(rows: DataFrame, small: DataFrame, on: str, *by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with `small`, one row for each value of `on`, over (on, salt): a hot value is spread over tasks.
+
+    by: columns of `rows` that tell rows of one value apart; `small` is repeated `salts` times.
+    """
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit(17), *by), F.lit(salts)))
+    small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(small, [on, "__salt"], how).drop("__salt")
+
+
 def kept(docs: DataFrame, scorer, keep) -> DataFrame:
     """The rows of `docs`, all columns as they are, for which keep(scores) holds.
 

@@ -1,16 +1,24 @@
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glintframe.llm import jaccard
 from glintframe.llm.components import components
 from glintframe.llm.shingles import MinHash, shingle_set
 
 
+def shingles(text):
+    """Runs of five words, or the words of a shorter text: sets of tuples, without hashes."""
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    return {tuple(found[k:k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
 def brute(rows):
     """doc index -> (links, least id of its group) over rows (id, text)."""
-    sets = [set(shingle_set(t).tolist()) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
     links, parent = [0] * len(rows), list(range(len(rows)))
 
     def root(i):
@@ -46,7 +54,7 @@ def corpus(seed=0):
     return [(10 * k + 3, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("blocks", [{}, {"bucket_block": 3, "component_block": 4}])
+@pytest.mark.parametrize("blocks", [{}, {"bucket_block": 3, "component_bytes": 400}])
 def test_links_and_groups_against_brute_force(documents, blocks):
     rows = corpus()
     found = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.near_duplicates(documents(rows), **blocks).collect()}
@@ -122,5 +130,57 @@ def test_stage_keeps_one_of_each_group(spark, documents):
     assert len(words) == len(set(words))
 
 
+def near_copies(n, words=60, seed=3):
+    """n different texts, each of similarity 0.8 or more to all others: one word is exchanged at the end."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    return [" ".join([*base, f"t{k}"]) for k in range(n)]
+
+
+def test_near_copies_that_share_an_id_or_have_none(spark, documents):
+    a, b, c = near_copies(3, seed=1), near_copies(3, seed=2), near_copies(4, seed=5)
+    rows = [(5, t) for t in a] + [(None, t) for t in b] + [(None, c[0]), (9, c[1]), (8, c[2]), (8, c[3]), (8, c[3])] + [(1, None), (1, None), (2, ""), (None, "!")]
+    extra = ["__hash", "__id", "__key", "__nth", "__salt", "row", "place", "text_hash", "worded", "label"]
+    df = documents(rows).withColumnsRenamed({"lang": "__hash", "size": "__id", "key": "__key"})
+    for name in extra[3:-1]:
+        df = df.withColumn(name, F.lit(name))
+    out = jaccard.deduplicated(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sum(t in a for _, t in got) == 1 and sum(t in b for _, t in got) == 1
+    assert [i for i, t in got if t in c] == [8]
+    assert len(got) == 3 + 4
+
+
+def test_a_large_group_of_near_copies(spark, documents, tmp_path):
+    """All links are counted, in blocks, and no row is copied for every other one."""
+    n = 3000
+    rows = [(k, t) for k, t in enumerate(near_copies(n))] + [(n + k, f"other text number {k} with words of its own {k * 7} {k * 11}") for k in range(500)]
+    df = documents(rows)
+    out = {r["doc_id"]: r for r in jaccard.near_duplicates(df, component_bytes=400_000).collect()}
+    assert all(out[k]["class_id"] == 0 and out[k]["n_links"] == n - 1 for k in range(n))
+    assert all(out[n + k]["class_id"] == n + k and out[n + k]["n_links"] == 0 for k in range(500))
+
+
+def test_dropped_pairs_are_not_verified(monkeypatch):
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 10)]
+    h = MinHash(jaccard.SIZE)
+    mixed = [x * np.uint64(0x9E3779B97F4A7C15) for x in sets]
+    signatures = np.stack([h(x) for x in mixed])
+    least = jaccard.least_agreements(0.8, jaccard.TOLERANCE)
+    assert jaccard.links(mixed, signatures, least).sum() == 6
+    signatures[2] += 1  # agrees with none: pruned before any set is looked at
+    linked = jaccard.links(mixed, signatures, least)
+    assert linked[0, 1] and not linked[:, 2].any() and not linked[2].any()
+    assert not jaccard.links(mixed, signatures, least, np.array([0, 0, 1])).any()
+
+
+def test_word_pattern_is_that_of_the_shingles(spark):
+    texts = ["", " ", "!?", "a", "Z", "0", "é", "日", "\x7f", "\x80", "_-_", "\n", "İ", "\U0001f600"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", F.col("text").rlike(jaccard.WORD).alias("has")).collect():
+        assert r["has"] == (len(shingle_set(r["text"])) > 0), r
+
+
 def test_empty(spark, documents, folder):
     assert jaccard.op2_ngram_jaccard_join(spark, folder(documents=documents([]))).count() == 0

@@ -49,7 +49,7 @@ def test_run_equals_a_plain_version(spark, data):
     by_name = dict(corpus_pipeline.STAGES)
 
     model = toxicity.trained(docs, spark.read.parquet(f"{d}/labels.parquet"))
-    want = [i for i in alive if model.scores([texts[i] or ""])[0] < toxicity.REJECTED]
+    want = [i for i in alive if model.scores([texts[i] or ""])[0] < toxicity.THRESHOLD]
     docs = by_name["toxicity"](spark, docs, d)
     assert docs.columns == columns and sorted(r["doc_id"] for r in docs.collect()) == want and len(want) < len(alive)
 
