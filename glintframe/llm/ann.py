@@ -3,28 +3,30 @@
 Inner product search becomes Euclidean search: with M the largest norm, x' = (x, sqrt(M^2 - |x|^2)) and
 q' = (q, 0) give |x' - q'|^2 = |q|^2 + M^2 - 2 q.x. Vectors are turned by one random rotation and kept in
 blocks of columns. k-means centres, fitted on a bounded sample (`sample_rows`, the rows with the least
-hash of their id), define the lists; every row is put into its nearest list. A query probes its nearest
-`probes` lists. Within a list the squared distance is summed column block by column block; after d of
-D dimensions a candidate is abandoned when its partial sum exceeds the kth distance * d/D *
-(1 + eps/sqrt(d))^2, the test at which a random rotation would show a true neighbour with vanishing
-probability. Survivors get their exact inner product on the original vectors, in double precision.
+hash of their id), define the lists, whose number grows with the square root of the table; every row is
+put into its nearest list. A query probes its nearest lists, as many as the sample's own neighbours need
+for a recall of `recall`: few where vectors cluster, many where they do not. Within a list the squared
+distance is summed column block by column block; after d of D dimensions a candidate is abandoned when
+its partial sum exceeds the kth distance * d/D * (1 + eps/sqrt(d))^2, the test at which a random rotation
+would show a true neighbour with vanishing probability. Survivors get their exact inner product on the
+original vectors, in double precision.
 
 The nearest list is scanned first for all queries; the kth distances found there go along as
 thresholds to the other lists.
 
 Scale: lists larger than `part_rows` are split by a hash of the id, and the queries of a list come in
-blocks, so a task holds one part and one block. The driver holds the sample, the centres (at most
-`lists`) and a count for each list. The index has a row for each part.
+blocks, so a task holds one part and one block. Parts and queries meet in one shuffle each. The driver
+holds the sample, the centres (at most an eighth of it), and counts for each list and each length of
+vectors. The index has a row for each part.
 
 Edge cases: vectors null, zero or with null or non-finite components and null ids take no part; rows
-that repeat an id count once (the least vector); only vectors of the commonest length in the sample
-are searched (an index has one dimension); fewer than k candidates give those found; an empty table
-gives an empty result. Ties in score go to the smaller id. Other columns are not read.
+that repeat an id count once (the least vector); vectors of each length are searched apart, a length that
+the sample lacks as one list; fewer than k candidates give those found; an empty table gives an empty
+result. Ties in score go to the smaller id. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,20 +62,43 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What every task needs: rotation, largest squared norm, centres (turned)."""
+    """What every task needs for vectors of one length: rotation, largest squared norm, centres (turned), lists to probe.
 
-    def __init__(self, rotation: np.ndarray, top: float, centres: np.ndarray):
-        self.rotation, self.top, self.centres = rotation, top, centres
+    Its lists are numbered from `base` on.
+    """
+
+    def __init__(self, dim: int, top: float, base: int, sample: np.ndarray, lists: int, recall: float, k: int, seed: int):
+        self.rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim + 1, dim + 1)))[0]
+        self.top, self.base = top, base
+        self.centres, self.probes = np.zeros((1, dim + 1)), 1
+        if lists > 1:
+            self.centres = kmeans(self.turned(sample), lists, seed)
+            self.probes = self.needed(sample, recall, k)
 
     def turned(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top - (x * x).sum(axis=1), 0.0))
         return np.column_stack([x, last]) @ self.rotation
 
-    def probed(self, q: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest lists of each query, nearest first."""
+    def ordered(self, q: np.ndarray) -> np.ndarray:
+        """All lists, nearest first, of each query."""
         t = self.turned(q, query=True)
-        d = (self.centres * self.centres).sum(axis=1)[None, :] - 2 * t @ self.centres.T
-        return np.argsort(d, axis=1, kind="stable")[:, :probes]
+        return np.argsort((self.centres * self.centres).sum(axis=1)[None, :] - 2 * t @ self.centres.T, axis=1, kind="stable")
+
+    def needed(self, sample: np.ndarray, recall: float, k: int, queries: int = 512) -> int:
+        """Lists to probe so that the share `recall` of the k neighbours, within the sample, of some of it lies in them.
+
+        The sample is thinner than the table, its neighbours lie farther apart: the table's recall is higher.
+        """
+        q = sample[:queries]
+        scores = q @ sample.T
+        scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        near = np.argsort(-scores, axis=1, kind="stable")[:, :min(k, len(sample) - 1)]
+        place = np.argsort(self.ordered(q), axis=1)
+        turns = np.take_along_axis(place, nearest(self.turned(sample), self.centres)[near], axis=1)
+        return int(np.quantile(turns, recall, method="higher")) + 1
+
+
+Indexes = dict[int, Index]  # by length of vectors
 
 
 def scan_part(x: np.ndarray, ids: np.ndarray, blocks: list[np.ndarray], q: np.ndarray, qid: int, qt: np.ndarray, limit: float, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,29 +134,36 @@ def _pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"qlist": [int(pdf["list"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [matrix(pdf["vec"]).tobytes()], "limits": [pdf["limit"].to_numpy(np.float64).tobytes()]})
 
 
-def _assign(index: Index):
+def _by_length(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    return iter(pdf.groupby(pdf["vec"].map(len)))
+
+
+def _assign(indexes: Indexes):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if len(pdf):
-                yield pdf.assign(list=nearest(index.turned(matrix(pdf["vec"])), index.centres).astype(np.int32))
+            for dim, own in _by_length(pdf) if len(pdf) else ():
+                index = indexes[dim]
+                yield own.assign(list=(index.base + nearest(index.turned(matrix(own["vec"])), index.centres)).astype(np.int32))
     return run
 
 
-def _route(index: Index, probes: int):
+def _route(indexes: Indexes):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if len(pdf):
-                to = index.probed(matrix(pdf["vec"]), probes)
-                yield pd.DataFrame({"vec_id": pdf["vec_id"].repeat(to.shape[1]).to_numpy(), "vec": pdf["vec"].repeat(to.shape[1]).to_numpy(), "list": to.ravel().astype(np.int32), "turn": np.tile(np.arange(to.shape[1], dtype=np.int32), len(pdf))})
+            for dim, own in _by_length(pdf) if len(pdf) else ():
+                index = indexes[dim]
+                to = index.ordered(matrix(own["vec"]))[:, :index.probes]
+                yield pd.DataFrame({"vec_id": own["vec_id"].to_numpy(), "vec": own["vec"].to_numpy(), "top": index.top, "lists": list((index.base + to).astype(np.int32))})
     return run
 
 
-def _scan(index: Index, k: int):
+def _scan(indexes: Indexes, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 ids, qid = np.frombuffer(row.ids, np.int64), np.frombuffer(row.qids, np.int64)
                 x, q = np.frombuffer(row.x).reshape(len(ids), -1), np.frombuffer(row.q).reshape(len(qid), -1)
+                index = indexes[x.shape[1]]
                 turned, qt = np.ascontiguousarray(index.turned(x).T), index.turned(q, query=True)
                 blocks = [turned[s:s + COLUMNS] for s in range(0, len(turned), COLUMNS)]
                 out = []
@@ -143,41 +175,52 @@ def _scan(index: Index, k: int):
     return run
 
 
-def nearest_by_product(vectors: DataFrame, is_query, k: int = K, lists: int = 128, probes: int = 80, sample_rows: int = 16_384, part_rows: int = 8192, block_rows: int = 1024, seed: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest found; vectors: vec_id, vec."""
+def nearest_by_product(vectors: DataFrame, is_query, k: int = K, recall: float = 0.93, lists: int | None = None, sample_rows: int = 16_384, part_rows: int = 8192, block_rows: int = 1024, seed: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest found; vectors: vec_id, vec.
+
+    lists: of each length of vectors; by default twice the square root of their number, and at most one for
+    8 rows of the sample. recall: 1.0 probes every list that holds a neighbour within the sample.
+    """
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()["vec"]
-    if not len(sample):
+    squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    lengths = vectors.groupBy(F.size("vec").alias("dim")).agg(F.max(squares).alias("top"), F.count("*").alias("n")).orderBy("dim").collect()  # one row a length
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = min(Counter(map(len, sample)).items(), key=lambda p: (-p[1], p[0]))[0]
-    vectors = vectors.where(F.size("vec") == dim)
-    top = vectors.select(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim + 1, dim + 1)))[0]
-    index = Index(rotation, top, np.zeros((1, dim + 1)))
-    index.centres = kmeans(index.turned(matrix([v for v in sample if len(v) == dim])), lists, seed)
-
-    put = checkpointed(vectors.mapInPandas(_assign(index), "vec_id long, vec array<double>, list int"))
-    sizes = {r["list"]: r["n"] for r in put.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most `lists` rows
-    parts = spark.createDataFrame([(c, -(-sizes.get(c, 0) // part_rows)) for c in range(len(index.centres))], "list int, parts int")
+    sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()["vec"]
+    indexes: Indexes = {}
+    base = 0
+    for row in lengths:
+        own = matrix([v for v in sample if len(v) == row["dim"]])
+        many = max(1, min(lists or round(2 * row["n"] ** 0.5), len(own) // 8))
+        indexes[row["dim"]] = Index(row["dim"], row["top"], base, own, many, recall, k, seed)
+        base += len(indexes[row["dim"]].centres)
+
+    put = checkpointed(vectors.mapInPandas(_assign(indexes), "vec_id long, vec array<double>, list int"))
+    sizes = {r["list"]: r["n"] for r in put.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
+    parts = F.broadcast(spark.createDataFrame([(c, max(1, -(-sizes.get(c, 0) // part_rows))) for c in range(base)], "list int, parts int"))  # one row a list
     part = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), "parts").cast("int")
-    packed = checkpointed(put.join(F.broadcast(parts), "list").withColumn("part", part).groupBy("list", "part").applyInPandas(_pack_part, "list int, part int, ids binary, x binary"))
+    tasks = max(8, 4 * spark.sparkContext.defaultParallelism, sum(sizes.values()) // (4 * part_rows))
+    packed = checkpointed(put.join(parts, "list").withColumn("part", part).repartition(tasks, "list", "part").groupBy("list", "part").applyInPandas(_pack_part, "list int, part int, ids binary, x binary"))
 
     # A query id has one vector, the least of those with that id.
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    routed = checkpointed(queries.mapInPandas(_route(index, probes), "vec_id long, vec array<double>, list int, turn int"))
-    blocks = max(1, -(-vectors.where(is_query).count() // block_rows))
+    routed = checkpointed(queries.mapInPandas(_route(indexes), "vec_id long, vec array<double>, top double, lists array<int>"))
+    blocks = max(1, -(-routed.count() // block_rows))
 
     def found(rows: DataFrame) -> DataFrame:
+        """rows: vec_id, vec, limit, lists; each goes once to every part of its lists."""
         rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "vec_id"), F.lit(blocks)).cast("int"))
+        rows = rows.withColumn("list", F.explode("lists")).select("vec_id", "vec", "limit", "block", "list")
         packs = rows.groupBy("list", "block").applyInPandas(_pack_queries, "qlist int, block int, qids binary, q binary, limits binary")
-        met = packed.join(packs, F.col("list") == F.col("qlist"))
-        return met.repartition(max(8, 4 * spark.sparkContext.defaultParallelism), "list", "part", "block").mapInPandas(_scan(index, k), OUT)
+        packs = packs.join(parts.withColumnRenamed("list", "qlist"), "qlist").withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = packed.repartition(tasks, "list", "part").join(packs.repartition(tasks, "qlist", "qpart"), (F.col("list") == F.col("qlist")) & (F.col("part") == F.col("qpart")))
+        return met.mapInPandas(_scan(indexes, k), OUT)
 
-    first = checkpointed(found(routed.where("turn = 0").withColumn("limit", F.lit(float("inf")))))
+    first = checkpointed(found(routed.withColumn("lists", F.slice("lists", 1, 1)).withColumn("limit", F.lit(float("inf")))), gathered=True)
     # |q' - x'|^2 = |q|^2 + M^2 - 2 q.x of the kth found so far.
     kth = ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    rest = routed.where("turn > 0").join(kth, "vec_id", "left").withColumn("limit", F.coalesce(square + top - 2 * F.col("kth"), F.lit(float("inf")))).drop("kth")
+    rest = routed.where(F.size("lists") > 1).withColumn("lists", F.expr("slice(lists, 2, size(lists) - 1)")).join(kth, "vec_id", "left")
+    rest = rest.withColumn("limit", F.coalesce(squares + F.col("top") - 2 * F.col("kth"), F.lit(float("inf"))))
     return ranked(first.unionByName(found(rest)), k)
 
 

@@ -107,9 +107,32 @@ def test_neighbours_recall_scores_and_ties(spark, embeddings, folder):
     assert tied.vec_id.tolist() == list(range(3001, 3021))
 
 
+def test_neighbours_of_every_length(spark, embeddings, folder):
+    """Each length is searched apart; none is left out, and none that the sample lacks."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=(4, 6, 9)[i % 3])) for i in range(900)] + [(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), (1020, [5.0])]
+    d = folder(embeddings=embeddings(rows))
+    out = ann.op8_adaptive_dimension_scan(spark, d).toPandas()
+    want = pd.DataFrame(best(usable(rows, nonzero=True), 20, 20), columns=["query_id", "rank", "vec_id", "score"])
+    assert len(out.merge(want, on=["query_id", "vec_id"])) >= 0.9 * len(want)
+    assert out.groupby("query_id").size().to_dict() == want.groupby("query_id").size().to_dict()
+    v = ann.vectors_of(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", nonzero=True)
+    few = ann.nearest_by_product(v, v["vec_id"] % 20 == 0, 20, sample_rows=1).toPandas()  # one list for each length: nothing is missed
+    assert sorted(zip(few.query_id, few["rank"], few.vec_id)) == sorted(zip(want.query_id, want["rank"], want.vec_id))
+
+
+def test_clustered_vectors_need_few_probes():
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(40, 16)) * 6
+    x = middle[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ann.Index(16, 1.0, 0, x, 126, 0.93, 20, 5)
+    assert index.probes <= 20 < ann.Index(16, 1.0, 0, rng.normal(size=(4000, 16)) / 8, 126, 0.93, 20, 5).probes
+
+
 def test_parts_and_blocks_do_not_matter(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(500, 8)))], "vec_id long, vec array<double>")
-    run = lambda **o: sorted(map(tuple, ann.nearest_by_product(df, df["vec_id"] % 20 == 0, 5, lists=6, probes=6, **o).collect()))
+    run = lambda **o: sorted(map(tuple, ann.nearest_by_product(df, df["vec_id"] % 20 == 0, 5, recall=1.0, lists=6, **o).collect()))
     got = run(part_rows=23, block_rows=4)
     assert [g[:3] for g in got] == [w[:3] for w in best({i: np.array(v) for i, v in ((r["vec_id"], r["vec"]) for r in df.collect())}, 20, 5)]
