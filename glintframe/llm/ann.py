@@ -34,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, matrix, table, vectors_of
+from .common import checkpointed, matrix, one_each, table, vectors_of
+from .kmeans import kmeans, nearest
 from .topk import ranked
 
 K = 20
@@ -43,24 +44,6 @@ EPS = 2.1
 OUT = "query_id long, vec_id long, score double"
 
 
-def kmeans(x: np.ndarray, lists: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
-    """Lloyd's centres from distinct random rows; an emptied centre stays where it was."""
-    rng = np.random.default_rng(seed)
-    distinct = np.unique(x, axis=0)
-    centres = distinct[rng.permutation(len(distinct))[:lists]]
-    for _ in range(rounds):
-        near = nearest(x, centres)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=len(centres))
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-    return centres
-
-
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T, axis=1)
-
-
 class Index:
     """What every task needs for vectors of one length: rotation, largest squared norm, centres (turned), lists to probe.
 
@@ -126,7 +109,7 @@ def scan_part(x: np.ndarray, ids: np.ndarray, blocks: list[np.ndarray], q: np.nd
 
 
 def _pack_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.assign(key=[tuple(v) for v in pdf["vec"]]).sort_values(["vec_id", "key"]).drop_duplicates("vec_id")
+    pdf = pdf.sort_values("vec_id")
     return pd.DataFrame({"list": [int(pdf["list"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "x": [matrix(pdf["vec"]).tobytes()]})
 
 
@@ -182,6 +165,7 @@ def nearest_by_product(vectors: DataFrame, is_query, k: int = K, recall: float =
     8 rows of the sample. recall: 1.0 probes every list that holds a neighbour within the sample.
     """
     spark = vectors.sparkSession
+    vectors = checkpointed(one_each(vectors))
     squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     lengths = vectors.groupBy(F.size("vec").alias("dim")).agg(F.max(squares).alias("top"), F.count("*").alias("n")).orderBy("dim").collect()  # one row a length
     if not lengths:
@@ -202,9 +186,7 @@ def nearest_by_product(vectors: DataFrame, is_query, k: int = K, recall: float =
     tasks = max(8, 4 * spark.sparkContext.defaultParallelism, sum(sizes.values()) // (4 * part_rows))
     packed = checkpointed(put.join(parts, "list").withColumn("part", part).repartition(tasks, "list", "part").groupBy("list", "part").applyInPandas(_pack_part, "list int, part int, ids binary, x binary"))
 
-    # A query id has one vector, the least of those with that id.
-    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    routed = checkpointed(queries.mapInPandas(_route(indexes), "vec_id long, vec array<double>, top double, lists array<int>"))
+    routed = checkpointed(vectors.where(is_query).mapInPandas(_route(indexes), "vec_id long, vec array<double>, top double, lists array<int>"))
     blocks = max(1, -(-routed.count() // block_rows))
 
     def found(rows: DataFrame) -> DataFrame:

@@ -97,6 +97,11 @@ def vectors_of(df: DataFrame, id_col: str, vec_col: str, nonzero: bool = False)
     return out.select("vec_id", "vec")
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """vec_id, vec: of rows that repeat an id the least vector."""
+    return vectors.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+
 def matrix(series) -> np.ndarray:
     """A float64 matrix from a series of equally long arrays."""
     return np.stack([np.asarray(x, dtype=np.float64) for x in series]) if len(series) else np.zeros((0, 0))

@@ -1,15 +1,17 @@
 """Exact top-k by inner product: ball-tree branch and bound in each shard.
 
-Vectors are dealt by a hash of their id into shards of about `shard_rows`. Each shard becomes one
-row: its vectors in tree order and the tree's nodes (centre, radius, span). Queries, in blocks, first
-meet one shard each, which gives every query a kth score that the real one cannot fall below. That
-score then goes with the query to all shards, where nodes are bounded by q.c + |q| r; a subtree whose
-bound lies below the kth score is left out, the leaves that remain are visited from the highest bound
-down, and the kth score rises as they are read. A shard returns only what reaches it.
-
-Scale: a task holds one shard and one block of queries, whatever the table's size; the query set is
-met with all shards in blocks (a block goes to every shard as one row). The driver sees two
-counts. Vector components become whole numbers, so scores are exact and ties are real.
+Vectors are dealt to the nearest of coarse centres (k-means on a bounded sample, the rows with the least
+hash of their id), and the lists so made into shards of about `shard_rows`. Each shard becomes one row: its
+vectors in tree order and the tree's nodes (centre, radius, span). A list is a ball too, so a query q
+orders the lists by their bound q.c + |q| r and visits them in three rounds: the best one, the next
+`ahead`, and the rest. After each round the kth score found so far is shared, and lists bounded below it
+are never sent the query. In a shard, nodes are bounded alike; a subtree whose bound lies below the kth
+score is left out, the leaves that remain are visited from the highest bound down, and the kth score rises
+as they are read. A shard returns only what reaches it.
+
+Scale: a task holds one shard and one block of the queries that its list may answer, whatever the table's
+size. The driver holds the sample, the balls of the lists (at most an eighth of it) and counts for each
+length of vectors. Vector components become whole numbers, so scores are exact and ties are real.
 
 Edge cases: null vectors, vectors with null or non-finite components and null ids take no part; rows
 that repeat an id count once (the least vector); vectors of another length than the query's are
@@ -26,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, matrix, table, vectors_of
+from .common import checkpointed, matrix, one_each, table, vectors_of
+from .kmeans import kmeans, nearest
 
 K = 5
 LEAF = 128
@@ -125,18 +128,56 @@ def search(tree: tuple, ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.n
     return best
 
 
+class Lists:
+    """Coarse centres of each length of vectors; lists of a length are numbered from base[length] on."""
+
+    def __init__(self, centres: dict[int, np.ndarray]):
+        self.centres = centres
+        self.base = dict(zip(centres, np.cumsum([0, *map(len, centres.values())]).tolist()))
+        self.radius = np.zeros(sum(map(len, centres.values())))
+
+    def bounds(self, dim: int, q: np.ndarray) -> np.ndarray:
+        """The largest score that each list (of its length) can hold for each query; -inf for lists without vectors."""
+        base, c = self.base[dim], self.centres[dim]
+        r = self.radius[base:base + len(c)]
+        norms = np.sqrt((q * q).sum(axis=1))[:, None]
+        b = q @ c.T + norms * r
+        return np.where(r < 0, -np.inf, b + 1e-6 + 1e-9 * np.abs(b) + 1e-9 * norms * np.abs(r))
+
+
+def _assign(lists: Lists):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for dim, own in pdf.groupby(pdf["vec"].map(len)) if len(pdf) else ():
+                x = matrix(own["vec"])
+                near = nearest(x, lists.centres[dim])
+                away = np.sqrt(((x - lists.centres[dim][near]) ** 2).sum(axis=1))
+                yield own.assign(list=(lists.base[dim] + near).astype(np.int32), away=away)
+    return run
+
+
+def _route(lists: Lists, start: int, stop: int | None):
+    """The lists start:stop, by bound, of those that reach the query's floor."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for dim, own in pdf.groupby(pdf["vec"].map(len)) if len(pdf) else ():
+                b = lists.bounds(dim, matrix(own["vec"]))
+                order = np.argsort(-b, axis=1, kind="stable")[:, start:stop]
+                alive = np.take_along_axis(b, order, 1) >= np.maximum(own["floor"].to_numpy(np.float64), -1e300)[:, None]
+                yield own.assign(lists=[(lists.base[dim] + o[a]).astype(np.int32) for o, a in zip(order, alive)])
+    return run
+
+
 def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
     """One shard as one row: ids and vectors in tree order, and the tree."""
-    pdf = pdf.assign(key=[tuple(v) for v in pdf["vec"]]).sort_values(["vec_id", "key"]).drop_duplicates("vec_id")
+    pdf = pdf.sort_values("vec_id")
     x, ids = matrix(pdf["vec"]), pdf["vec_id"].to_numpy(np.int64)
     order, spans, centres, radii = ball_tree(x)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "dim": [x.shape[1]], "ids": [ids[order].tobytes()], "x": [x[order].tobytes()], "spans": [spans.tobytes()], "centres": [centres.tobytes()], "radii": [radii.tobytes()]})
+    return pd.DataFrame({"list": [int(pdf["list"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "ids": [ids[order].tobytes()], "x": [x[order].tobytes()], "spans": [spans.tobytes()], "centres": [centres.tobytes()], "radii": [radii.tobytes()]})
 
 
 def _query_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.assign(key=[tuple(v) for v in pdf["vec"]]).sort_values(["vec_id", "key"]).drop_duplicates("vec_id")
-    floor = pdf["floor"].to_numpy(np.float64)
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "qdim": [len(pdf["vec"].iloc[0])], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [matrix(pdf["vec"]).tobytes()], "floor": [floor.tobytes()]})
+    return pd.DataFrame({"qlist": [int(pdf["list"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [matrix(pdf["vec"]).tobytes()], "floor": [pdf["floor"].to_numpy(np.float64).tobytes()]})
 
 
 def _search_rows(k: int):
@@ -147,7 +188,7 @@ def _search_rows(k: int):
                 x, q = np.frombuffer(row.x).reshape(len(ids), -1), np.frombuffer(row.q).reshape(len(qid), -1)
                 tree = np.frombuffer(row.spans, np.int64).reshape(-1, 3), np.frombuffer(row.centres).reshape(-1, x.shape[1]), np.frombuffer(row.radii)
                 best = search(tree, ids, x, qid, q, np.frombuffer(row.floor), k)
-                there = np.isfinite(best.scores)
+                there = np.isfinite(best.scores)  # what the floor leaves out stays -inf
                 yield pd.DataFrame({"query_id": np.repeat(qid, k)[there.ravel()], "vec_id": best.ids[there], "score": best.scores[there].astype(np.int64)})
     return run
 
@@ -158,31 +199,51 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = 8192, block_rows: int = 1024, sample_rows: int = 16_384, ahead: int = 8, seed: int = 2) -> DataFrame:
     """The k best of every query against all other rows; vectors: vec_id, vec (whole numbers as doubles)."""
-    sized = vectors.withColumn("dim", F.size("vec"))
-    n = vectors.count()
-    shards = max(1, -(-n // shard_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    trees = checkpointed(sized.withColumn("shard", shard).groupBy("shard", "dim").applyInPandas(_packed, "shard int, dim int, ids binary, x binary, spans binary, centres binary, radii binary"))
-    queries = sized.where(is_query)
+    spark = vectors.sparkSession
+    vectors = checkpointed(one_each(vectors))
+    lengths = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()}  # one row a length
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()["vec"]
+    centres = {}
+    for dim, n in lengths.items():
+        own = matrix([v for v in sample if len(v) == dim])
+        many = min(-(-n // shard_rows), len(own) // 8)
+        centres[dim] = kmeans(own, many, seed) if many > 1 else np.zeros((1, dim))
+    lists = Lists(centres)
+    put = checkpointed(vectors.mapInPandas(_assign(lists), "vec_id long, vec array<double>, list int, away double"))
+    sizes = {r["list"]: (r["n"], r["away"]) for r in put.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}  # one row a list
+    lists.radius = np.array([sizes.get(c, (0, -1.0))[1] for c in range(len(lists.radius))])
+    parts = F.broadcast(spark.createDataFrame([(c, max(1, -(-sizes.get(c, (0, 0))[0] // shard_rows))) for c in range(len(lists.radius))], "list int, parts int"))  # one row a list
+    part = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), "parts").cast("int")
+    tasks = max(8, 4 * spark.sparkContext.defaultParallelism, sum(lengths.values()) // shard_rows)
+    trees = put.join(parts, "list").withColumn("part", part).repartition(tasks, "list", "part").groupBy("list", "part")
+    trees = checkpointed(trees.applyInPandas(_packed, "list int, part int, ids binary, x binary, spans binary, centres binary, radii binary"))
+
+    queries = vectors.where(is_query)
     blocks = max(1, -(-queries.count() // block_rows))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int"))
-    block_schema = "block int, qdim int, qids binary, q binary, floor binary"
-    blocks_of = lambda df: df.groupBy("block", "dim").applyInPandas(_query_block, block_schema)
-
-    # One shard first: its kth score bounds each query's kth score from below.
-    first = blocks_of(queries.withColumn("floor", F.lit(float("-inf"))))
-    first = first.join(trees, (F.col("shard") == F.pmod("block", F.lit(shards))) & (F.col("dim") == F.col("qdim"))).mapInPandas(_search_rows(k), OUT)
-    floor = checkpointed(ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")), gathered=True)
-
-    queries = queries.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    # Blocks are the smaller side: they go to every shard, and shards stay where they are.
-    sent = blocks_of(queries).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = sent.join(trees, (F.col("to") == F.col("shard")) & (F.col("dim") == F.col("qdim")))
-    tasks = min(shards * blocks, 64 * vectors.sparkSession.sparkContext.defaultParallelism)
-    found = met.repartition(max(1, tasks), "shard", "block").mapInPandas(_search_rows(k), OUT)
-    return ranked(found, k)
+    queries = checkpointed(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "vec_id"), F.lit(blocks)).cast("int")).withColumn("floor", F.lit(float("-inf"))), gathered=True)
+    routed = "vec_id long, vec array<double>, block int, floor double, lists array<int>"
+
+    def found(rows: DataFrame) -> DataFrame:
+        packs = rows.withColumn("list", F.explode("lists")).drop("lists").groupBy("list", "block").applyInPandas(_query_block, "qlist int, block int, qids binary, q binary, floor binary")
+        packs = packs.join(parts.withColumnRenamed("list", "qlist"), "qlist").withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = trees.repartition(tasks, "list", "part").join(packs.repartition(tasks, "qlist", "qpart"), (F.col("list") == F.col("qlist")) & (F.col("part") == F.col("qpart")))
+        return met.mapInPandas(_search_rows(k), OUT)
+
+    best = None
+    for start, stop in ((0, 1), (1, 1 + ahead), (1 + ahead, None)):
+        if start >= max(map(len, centres.values())):
+            break
+        rows = found(queries.mapInPandas(_route(lists, start, stop), routed))
+        best = checkpointed(ranked(rows if best is None else best.drop("rank").unionByName(rows), k), gathered=True)
+        # The kth score so far bounds each query's kth score from below.
+        floor = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
+        queries = queries.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("kth", "floor")).drop("kth")
+        queries = queries.select("vec_id", "vec", "block", "floor")
+    return best
 
 
 def op6_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

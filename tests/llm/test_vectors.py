@@ -54,6 +54,25 @@ def test_top_k_in_small_shards_and_blocks(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == best(rows, 7, 3)
 
 
+def test_lists_are_left_out_and_nothing_is_missed(spark):
+    """Far clusters are never sent a query, whose best rows are found all the same; ids repeat across lists."""
+    rng = np.random.default_rng(8)
+    rows = [(i, np.floor(rng.normal(size=5) * 9 + 200 * np.eye(5)[i % 5])) for i in range(1500)]
+    rows += [(30, np.floor(200 * np.eye(5)[4])), (35, np.floor(-200 * np.eye(5)[4])), (2000, np.array([1.0, 2.0])), (2002, np.array([3.0, 1.0]))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, vec array<double>")
+    one = {}
+    for i, v in rows:
+        if i not in one or tuple(v) < tuple(one[i]):
+            one[i] = v
+    out = topk.exact_top_k(df, df["vec_id"] % 10 == 0, 3, shard_rows=60, block_rows=40, ahead=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == best(one, 10, 3)
+    lists = topk.Lists({5: 200 * np.eye(5)})
+    lists.radius = np.array([30.0, 30.0, 30.0, 30.0, -1.0])
+    frame = pd.DataFrame({"vec_id": [1], "vec": [[200.0, 0.0, 0.0, 0.0, 0.0]], "block": [0], "floor": [30_000.0]})
+    (routed,) = topk._route(lists, 0, None)(iter([frame]))
+    assert routed["lists"][0].tolist() == [0]
+
+
 def test_ball_tree_holds_its_points():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1000, 5))
@@ -110,7 +129,7 @@ def test_neighbours_recall_scores_and_ties(spark, embeddings, folder):
 def test_neighbours_of_every_length(spark, embeddings, folder):
     """Each length is searched apart; none is left out, and none that the sample lacks."""
     rng = np.random.default_rng(6)
-    rows = [(i, rng.normal(size=(4, 6, 9)[i % 3])) for i in range(900)] + [(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), (1020, [5.0])]
+    rows = [(i, rng.normal(size=(4, 6, 9)[i % 3])) for i in range(900)] + [(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), (40, [-9.0] * 6), (44, [-9.0] * 9), (1020, [5.0])]
     d = folder(embeddings=embeddings(rows))
     out = ann.op8_adaptive_dimension_scan(spark, d).toPandas()
     want = pd.DataFrame(best(usable(rows, nonzero=True), 20, 20), columns=["query_id", "rank", "vec_id", "score"])
