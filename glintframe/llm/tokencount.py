@@ -10,13 +10,20 @@ is annotated with the change of the token count: 1 for a new token, 0 or less wh
 merges what stood before. States are interned as texts reach them; the table is dense, state x symbol.
 
 Characters no piece contains emit their UTF-8 bytes and reset the transducer, as does a word mark after
-another character, since no piece holds one inside (checked when compiling). Texts are cut into chunks
-of equal length. From its first reset a chunk's state map is constant; before it the map is open.
-Composing the maps in order joins each open head to the constant tail before it; all joined pieces then
-run side by side, one table step for all of them at a time, and their counts add up by document.
+another character, since no piece holds one inside (checked when compiling).
+
+Texts are cut into chunks of equal length, all of which run side by side, one table step for all of them
+at a time. A chunk's state map takes the state before it to the state after it and the tokens emitted
+between; it is built for the states met. The first state to try comes from running up to the chunk from
+the last reset before it, which gives the true one, or, in a text without resets, from `AHEAD`
+characters back, which mostly does. Where the map before ends in a state that a chunk's map lacks, the
+chunk runs again from that one, again all such chunks side by side. The maps then compose by a parallel
+prefix scan (pointer jumping, log of the number of chunks in rounds) into each text's count. So a long
+text without a blank is spread like any other.
 
 Scale: one pass, no shuffle. A worker's table is bounded by `TABLE` entries: it is dropped and regrown
-beyond that, and a batch that alone overflows it is halved, down to one text.
+beyond that, and a batch that alone overflows it is halved, down to one text, which is then counted in
+sections, the state carried from one table to the next.
 
 Edge cases: null and empty texts have 0 tokens and 0 bytes; special strings in a text are ordinary
 text; texts of any length are counted whole. Other columns are not read.
@@ -35,6 +42,8 @@ from .common import slices, table
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK = 512  # characters
+AHEAD = 128  # characters before a chunk from which its first state is sought
+ALL_ROUNDS = 4  # rounds that complete every map; later ones only those on a text's path
 BATCH = 2_000_000  # characters that run together
 TABLE = 34_000_000  # entries of a worker's transition table
 MARK = "▁"
@@ -53,7 +62,7 @@ class Transducer:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.library, self.bound = sp, table
+        self.bound = table
         self.pieces = {}
         self.score = {}
         for i in range(sp.get_piece_size()):
@@ -185,11 +194,11 @@ class Transducer:
             out = self.symbol[codes]
         return out
 
-    def run(self, symbols: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Tokens of symbols[first:first+length] of each lane, all lanes side by side from the start state."""
+    def run(self, symbols: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after symbols[first:first+length] of each lane, and tokens emitted, all lanes side by side."""
         order = np.argsort(-length, kind="stable")
         at, size = first[order].astype(np.int64), length[order]
-        state = np.full(len(at), self.start, dtype=np.int64)
+        state = state[order].astype(np.int64)
         count = np.zeros(len(at), dtype=np.int64)
         active = len(at) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
         for k, m in enumerate(active.tolist()):
@@ -204,53 +213,103 @@ class Transducer:
                 to = self.next.ravel()[where]
             count[:m] += self.emit.ravel()[where]
             state[:m] = to
-        out = np.empty_like(count)
-        out[order] = count
-        return out
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[back], count[back]
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text."""
         if not texts:
             return np.zeros(0, dtype=np.int64)
-        try:
-            return self._count(texts)
-        except Overflow:
-            self.clear()
-        if len(texts) > 1:
-            half = len(texts) // 2
-            return np.concatenate([self.count(texts[:half]), self.count(texts[half:])])
-        try:
-            return self._count(texts)
-        except Overflow:  # one text with more states than the table holds
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        for _ in range(2):  # once more with an empty table
+            try:
+                return self.scan(marked)[0]
+            except Overflow:
+                self.clear()
+        if len(texts) == 1:
+            return np.array([self.sections(marked[0])], dtype=np.int64)
+        half = len(texts) // 2
+        return np.concatenate([self.count(texts[:half]), self.count(texts[half:])])
+
+    def sections(self, marked: str) -> int:
+        """The tokens of one text with more states than the table holds: the table is cleared between its sections."""
+        state, total, at, size = self.states[self.start], 0, 0, -(-len(marked) // 2)
+        while at < len(marked):
             self.clear()
-            return np.array([len(self.library.encode(texts[0]))], dtype=np.int64)
+            try:
+                tokens, ends = self.scan([marked[at:at + size]], state)
+            except Overflow:
+                if size <= CHUNK:
+                    raise
+                size = max(CHUNK, -(-size // 2))
+                continue
+            total, state, at = total + int(tokens[0]), self.states[ends[0]], at + size
+        return total
 
-    def _count(self, texts: list[str]) -> np.ndarray:
-        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+    def scan(self, marked: list[str], entry: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text and the state after it; entry: the state before them, that of a new text unless given."""
+        start = self.start if entry is None else self.intern(entry)
         codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         symbols = self.symbols(codes)
         sizes = np.array([len(t) for t in marked], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
+        counts, ends = np.zeros(len(marked), dtype=np.int64), np.full(len(marked), start, dtype=np.int64)
         if not len(symbols):
-            return np.zeros(len(texts), dtype=np.int64)
+            return counts, ends
         # Where the state before does not matter: a mark after another symbol, after a symbol of no
         # piece, and the beginning of a text.
         mark = int(self.symbol[ord(MARK)])
         reset = np.zeros(len(symbols), dtype=bool)
         reset[1:] = ((symbols[1:] == mark) & (symbols[:-1] != mark)) | (symbols[:-1] <= 4)
-        reset[begins[sizes > 0]] = True
-        # The first reset of each chunk; the head before it joins the tail of the chunk before, and a
-        # chunk without one joins whole. Texts begin chunks of their own.
-        starts = np.flatnonzero(reset)
-        text_of = np.searchsorted(begins, starts, side="right") - 1
-        text_of = np.maximum.accumulate(text_of)
-        chunk = (starts - begins[text_of]) // CHUNK
-        new = np.ones(len(starts), dtype=bool)
-        new[1:] = (chunk[1:] != chunk[:-1]) | (text_of[1:] != text_of[:-1])
-        first, owner = starts[new], text_of[new]
-        length = np.diff(np.append(first, len(symbols)))
-        tokens = self.run(symbols, first, length)
-        return np.bincount(owner, weights=tokens, minlength=len(texts)).astype(np.int64)
+        reset[begins[sizes > 0]] = entry is None
+        chunks = -(-sizes // CHUNK)
+        heads = np.cumsum(chunks) - chunks
+        nth = np.arange(int(chunks.sum())) - np.repeat(heads, chunks)
+        first = np.repeat(begins, chunks) + CHUNK * nth
+        length = np.minimum(CHUNK, np.repeat(begins + sizes, chunks) - first)
+        last = nth == np.repeat(chunks, chunks) - 1
+        # The first state to try of each chunk.
+        latest = np.maximum.accumulate(np.where(reset, np.arange(len(symbols)), -1))
+        inner = np.flatnonzero(nth > 0)
+        back = np.minimum(first[inner] - latest[first[inner] - 1], np.minimum(AHEAD, first[inner]))
+        state = np.full(len(first), start, dtype=np.int64)
+        state[inner] = self.run(symbols, first[inner] - back, back, np.full(len(inner), self.start))[0]
+        # Entries of the state maps: (chunk, state before) -> state after, tokens.
+        place: dict[tuple[int, int], int] = {}
+        chunk_of, after, tokens = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        todo = list(zip(range(len(first)), state.tolist()))
+        turn, own, node, total = 0, None, None, None
+        while todo:
+            place.update(zip(todo, range(len(place), len(place) + len(todo))))
+            chunk, before = np.array(todo, dtype=np.int64).T
+            to, n = self.run(symbols, first[chunk], length[chunk], before)
+            chunk_of, after, tokens = np.append(chunk_of, chunk), np.append(after, to), np.append(tokens, n)
+            following = np.array([-1 if end else place.get((c + 1, s), -2) for c, s, end in zip(chunk_of.tolist(), after.tolist(), last[chunk_of].tolist())])
+            node, total = self.composed(following, tokens)
+            turn += 1
+            # Maps that lack a state: all, or those where a text's composition stops.
+            own = np.array([place[h, start] for h in heads[chunks > 0].tolist()], dtype=np.int64)
+            stops = np.arange(len(following)) if turn < ALL_ROUNDS else np.unique(node[own])
+            todo = sorted({(int(chunk_of[i]) + 1, int(after[i])) for i in stops[following[stops] == -2]})
+        counts[chunks > 0], ends[chunks > 0] = total[own], after[node[own]]
+        return counts, ends
+
+    @staticmethod
+    def composed(following: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each map entry, the last entry that composition reaches from it, and the tokens up to its end.
+
+        following: the entry that goes on from there, negative where there is none. A prefix scan: each round
+        doubles the chunks that an entry's composition covers.
+        """
+        ends = following < 0
+        jump = np.where(ends, np.arange(len(following)), following)
+        before = np.where(ends, 0, tokens)  # tokens up to the entry that `jump` names
+        while True:
+            further = jump[jump]
+            if (further == jump).all():
+                return jump, before + tokens[jump]
+            before, jump = before + before[jump], further
 
 
 _compiled: dict[str, Transducer] = {}

@@ -33,14 +33,49 @@ def test_hard_texts():
 @pytest.mark.parametrize("chunk", [1, 7, 100_000])
 def test_chunks_do_not_matter(monkeypatch, chunk):
     monkeypatch.setattr(tokencount, "CHUNK", chunk)
-    assert tokencount.compiled(PATH).count(HARD).tolist() == want(HARD)
+    texts = [t[:400] for t in HARD] if chunk == 1 else HARD
+    assert tokencount.compiled(PATH).count(texts).tolist() == want(texts)
+
+
+@pytest.mark.parametrize("ahead", [1, 128])
+def test_long_texts_without_resets(monkeypatch, ahead):
+    """Chunks whose first state is wrong run again from the right one; periodic texts keep their phase."""
+    monkeypatch.setattr(tokencount, "CHUNK", 64)
+    monkeypatch.setattr(tokencount, "AHEAD", ahead)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(6000)), "a" * 3001, "ab" * 2000, "-" * 3000, "=" * 1000 + "x" + "=" * 1000, "ing" * 1500, "x" * 500 + " " + "y" * 900]
+    assert tokencount.compiled(PATH).count(texts).tolist() == want(texts)
+
+
+def test_composition_adds_up_along_paths():
+    following = np.array([1, 2, -1, 4, -2, 1, 5])
+    tokens = np.array([3, 5, 7, 11, 13, 17, 19])
+    node, total = tokencount.Transducer.composed(following, tokens)
+    assert node.tolist() == [2, 2, 2, 4, 4, 2, 2] and total.tolist() == [15, 12, 7, 24, 13, 29, 48]
+
+
+def test_a_run_without_blanks_spreads_over_lanes():
+    """Steps of the table, not characters, take the time: few more than a chunk's length each round."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    t = tokencount.compiled(PATH)
+    lanes = []
+    run = t.run
+    t.run = lambda symbols, first, length, state: (lanes.append((int(length.max()) if len(length) else 0)), run(symbols, first, length, state))[1]
+    try:
+        n = t.count([text])
+    finally:
+        del t.run
+    assert n.tolist() == want([text]) and sum(lanes) <= 12 * tokencount.CHUNK
 
 
-def test_table_overflow_halves_and_falls_back():
+def test_table_overflow_halves_and_counts_sections():
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(40)]
     t = tokencount.Transducer(PATH, table=1024 * 128)
     assert t.count(texts).tolist() == want(texts) and t.next.size <= 1024 * 128
+    long = ["".join(rng.choice(alphabet) for _ in range(6000)) for alphabet in ("abcdefghij ", "abcdefghijklmnop")]
+    assert t.count(long).tolist() == want(long) and t.next.size <= 1024 * 128
 
 
 def test_pairs_decide_tokenization():
