@@ -2,14 +2,16 @@
 
 Each whole text is brought to lower-case words (runs of a-z, 0-9 and everything from U+0080 on) with
 one space between them; one Aho-Corasick automaton over that string finds every place of every
-phrase, overlapping ones too. An identifier tag (`SPDX-License-Identifier:`) hands the rest of its
-line in the original text to a tokenizer and a shunting-yard parser for and/or/with expressions.
+phrase, overlapping ones too. From each place where it finds an identifier tag
+(`SPDX-License-Identifier:`), the rest of the line in the original text goes to a tokenizer and a
+shunting-yard parser for and/or/with expressions. The parsed expression is brought to a normal form,
+which the results carry, and evaluated: whether permissive licenses alone can meet it.
 
 Scale: one pass over the texts, no shuffle; memory is one Arrow batch and one text's words.
 
 Edge cases: null text counts as empty: 0 words, no places, null first and last word, empty labels,
-score 0. A broken expression (missing operand, open bracket) gives no expression labels, but its tag
-still counts as evidence. Other columns are not read.
+score 0, no expressions, null permissive. A broken expression (missing operand, open bracket) gives no
+expression labels, but its tag still counts as evidence. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import slices, table
 
@@ -55,14 +60,17 @@ NOTICES = {
 BASE_CONFIDENCE = 0.8
 TAG = "spdx license identifier"
 TAG_CONFIDENCE = 0.95
-_RAW_TAG = re.compile(r"spdx-license-identifier\s*:[^\S\n]*([^\n]*)", re.IGNORECASE)
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_AFTER_TAG = re.compile(rb"\s*:[^\S\n]*([^\n]*)")
+
+#: Identifiers that ask for no more than notices to be kept.
+PERMISSIVE = {"0bsd", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "isc", "mit", "unlicense", "zlib"}
 
 #: Bytes of words stay (A-Z lowered), all other ASCII becomes a space; UTF-8 bytes from 0x80 on stay.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 #: with binds closer than and, and closer than or.
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
-MOST_CHOICES = 64  # beyond, an expression is kept as it is written
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
 
 
@@ -127,33 +135,84 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out
 
 
-def evaluated(text: str) -> tuple[list[str], list[frozenset[str]] | None] | None:
-    """Licenses named in an expression, and what it lets one choose from: sets that hold together.
+class Tree(NamedTuple):
+    """An expression: a license (no parts), or `and` / `or` over parts, of which none has the same operator.
+
+    form: how it is written; equal expressions have equal forms. Deep ones are walked without recursion.
+    """
+
+    name: str
+    parts: tuple["Tree", ...]
+    form: str
+
+    def folded(self, of_license, of_all, of_any):
+        """The value of the expression from those of its parts."""
+        done: dict[int, object] = {}
+        todo = [(self, False)]
+        while todo:
+            tree, ready = todo.pop()
+            if not tree.parts:
+                done[id(tree)] = of_license(tree.name)
+            elif ready:
+                done[id(tree)] = (of_all if tree.name == "and" else of_any)([done[id(p)] for p in tree.parts])
+            else:
+                todo.append((tree, True))
+                todo += [(p, False) for p in tree.parts]
+        return done[id(self)]
+
+    def met(self, allowed) -> bool:
+        """Whether licenses for which allowed(license) holds are enough."""
+        return self.folded(allowed, all, any)
+
+    def choices(self) -> set[frozenset[str]]:
+        """The sets of licenses that hold together, one for each way to choose at every `or`."""
+        return self.folded(lambda name: {frozenset([name])}, lambda parts: {frozenset().union(*c) for c in product(*parts)}, lambda parts: set().union(*parts))
+
+
+def license_of(name: str) -> Tree:
+    return Tree(name, (), name)
 
-    `or` gives choices, `and` joins them, `with` ties an exception to the license before it. None for a
-    broken expression; no choices (but all names) where there would be more than MOST_CHOICES.
+
+def joined(operator: str, left: Tree, right: Tree) -> Tree:
+    """Normal form: parts of the same operator are taken up, repeated ones once, in order."""
+    parts = {q.form: q for p in (left, right) for q in (p.parts if p.name == operator and p.parts else (p,))}
+    own = tuple(parts[form] for form in sorted(parts))
+    if len(own) == 1:
+        return own[0]
+    return Tree(operator, own, f" {operator} ".join(f"({p.form})" if operator == "and" and p.parts else p.form for p in own))
+
+
+def evaluated(text: str) -> tuple[list[str], Tree] | None:
+    """Licenses named in an expression, in order, and the expression; None for a broken one.
+
+    `with` ties an exception to the license before it.
     """
     postfix = to_postfix(expression_tokens(text))
     if not postfix:
         return None
-    stack: list[tuple[list[str], list[frozenset[str]] | None]] = []
+    names: list[str] = []
+    stack: list[Tree] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            stack.append(([token.lower()], [frozenset([token.lower()])]))
+            names.append(token.lower())
+            stack.append(license_of(token.lower()))
             continue
         if len(stack) < 2:
             return None
-        (names2, right), (names1, left) = stack.pop(), stack.pop()
-        names, both = [*names1, *names2], None
+        right, left = stack.pop(), stack.pop()
         if token == "with":
-            if len(names) != 2:
+            if left.parts or right.parts or " " in right.name:
                 return None
-            names = [" with ".join(names)]
-            both = [frozenset(names)]
-        elif left is not None and right is not None and len(left) * len(right) <= MOST_CHOICES:
-            both = list(dict.fromkeys(left + right if token == "or" else [x | y for x in left for y in right]))
-        stack.append((names, both))
-    return stack[0] if len(stack) == 1 else None
+            names[-2:] = [f"{left.name} with {right.name}"]
+            stack.append(license_of(names[-1]))
+        else:
+            stack.append(joined(token, left, right))
+    return (names, stack[0]) if len(stack) == 1 else None
+
+
+def permissive(name: str) -> bool:
+    """An exception only adds permissions, so it leaves a permissive license one."""
+    return name.split(" with ")[0] in PERMISSIVE
 
 
 @lru_cache(1)
@@ -171,14 +230,14 @@ def words_of(text: str) -> list[bytes]:
 
 
 def scan(text: str | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions of one text."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive of one text."""
     text = text or ""
     words = words_of(text)
     folded = b" ".join([b"", *words, b""]).decode("latin-1")
     places = [(end - len(phrase) - 1, phrase) for end, phrase in automaton().iter(folded)]
     base = sorted(start for start, phrase in places if phrase in BASE)
     base_labels = {BASE[phrase] for _, phrase in places if phrase in BASE}
-    labels, doubt, expressions = set(base_labels), 1.0, []
+    labels, doubt, trees = set(base_labels), 1.0, []
     for phrase in sorted({phrase for _, phrase in places}):
         if phrase in BASE:
             doubt *= 1 - BASE_CONFIDENCE
@@ -186,22 +245,33 @@ def scan(text: str | None) -> tuple:
             label, sure = NOTICES[phrase]
             labels.add(label)
             doubt *= 1 - sure
-    if any(phrase == TAG for _, phrase in places):
+    tags = [folded.count(" ", 0, start) for start, phrase in places if phrase == TAG]
+    if tags:
         doubt *= 1 - TAG_CONFIDENCE
-        for m in _RAW_TAG.finditer(text):
-            found = evaluated(m[1])
+        for rest in after_tags(text, tags):
+            found = evaluated(rest)
             if found:
-                names, choices = found
-                labels.update(names)
-                expressions.append(" | ".join(" & ".join(sorted(c)) for c in choices) if choices else m[1].strip())
+                labels.update(found[0])
+                trees.append(found[1])
     # The string starts with a space before word 0, so word k is the one after k + 1 spaces.
     first = folded.count(" ", 0, base[0]) if base else None
     last = folded.count(" ", 0, base[-1]) if base else None
-    return (len(words), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 - doubt, expressions)
+    return (len(words), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 - doubt, [t.form for t in trees], all(t.met(permissive) for t in trees) if trees else None)
+
+
+def after_tags(text: str, tags: list[int]) -> Iterator[str]:
+    """What follows the tags that begin at these words (counted as the automaton does) up to the line's end."""
+    raw = text.encode("utf-8", "surrogatepass")
+    last = {k + len(TAG.split()) - 1 for k in tags}
+    for k, m in enumerate(_WORD.finditer(raw)):
+        if k in last:
+            rest = _AFTER_TAG.match(raw, m.end())
+            if rest:
+                yield rest[1].decode("utf-8", "surrogatepass")
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
-_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())]
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permissive boolean"
+_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()]
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +287,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("expressions")
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("expressions", F.concat_ws("; ", "expressions"))
