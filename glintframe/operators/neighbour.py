@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -71,11 +73,14 @@ def focal_median_tiled(pixels: DataFrame, value: str, radius: int, tile: int = 1
         grid[r, c] = pdf["__v"].to_numpy()
         own = (r >= radius) & (r < radius + tile) & (c >= radius) & (c < radius + tile)
         windows = np.lib.stride_tricks.sliding_window_view(grid, (2 * radius + 1, 2 * radius + 1))
-        values = []
-        for i, j in zip(r[own] - radius, c[own] - radius):
-            near = windows[i, j]
-            near = near[~np.isnan(near)]
-            values.append(np.median(near) if len(near) else None)
+        i, j = r[own] - radius, c[own] - radius
+        values = np.full(len(i), np.nan)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # neighbourhoods without a value stay NaN
+            for at in range(0, len(i), 4096):
+                near = windows[i[at:at + 4096], j[at:at + 4096]]
+                values[at:at + 4096] = np.nanmedian(near.reshape(len(near), -1), axis=1)
+        values = [None if v != v else v for v in values.tolist()]
         return pd.DataFrame({by: pdf[by][own], "row": pdf["row"][own], "col": pdf["col"][own], "focal_median": pd.array(values, dtype="Float64")})
 
     kind = dict(pixels.dtypes)[by]

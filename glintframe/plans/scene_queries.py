@@ -64,15 +64,8 @@ def time_series_projection(spark, d):
     return with_alpha(spark, d).select(F.col("tile").alias("tile_id"), F.col("sensing_ts").alias("datetime"), r6("alpha").alias("alpha"))
 
 
-@query("scenes_by_alpha_missing_last", f"WITH x AS (SELECT sid, round({ALPHA}, 6) AS alpha FROM scene) SELECT sid, alpha, CAST(row_number() OVER (ORDER BY alpha ASC NULLS LAST, sid) AS INT) AS place FROM x ORDER BY place LIMIT 500", "scene")
+@query("scenes_by_alpha_missing_last", f"WITH x AS (SELECT sid, round({ALPHA}, 6) AS alpha FROM scene) SELECT sid, alpha, row_number() OVER (ORDER BY alpha ASC NULLS LAST, sid) AS place FROM x", "scene")
 def scenes_by_alpha_missing_last(spark, d):
-    top = scenes(spark, d).select("sid", r6(alpha()).alias("alpha")).orderBy(F.asc_nulls_last("alpha"), "sid").limit(500)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("alpha"), "sid")))
-
-
-# The query above gives the first 500 scenes, as its SQL says; this gives all.
-@query("scenes_by_alpha_all", f"WITH x AS (SELECT sid, round({ALPHA}, 6) AS alpha FROM scene) SELECT sid, alpha, row_number() OVER (ORDER BY alpha ASC NULLS LAST, sid) AS place FROM x", "scene")
-def scenes_by_alpha_all(spark, d):
     return placed(scenes(spark, d).select("sid", r6(alpha()).alias("alpha")), F.asc_nulls_last("alpha"), F.asc("sid"))
 
 
@@ -136,14 +129,8 @@ def sorted_ids(s: DataFrame) -> DataFrame:
     return s.select("tile", F.array_join(F.transform("sids", lambda x: x.cast("string")), ",").alias("sids"))
 
 
-@query("distinct_sorted_ids", "SELECT tile, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS sids FROM (SELECT DISTINCT tile, sid FROM scene WHERE sid % 97 = 0) GROUP BY tile", "scene")
+@query("distinct_sorted_ids", "SELECT tile, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS sids FROM (SELECT DISTINCT tile, sid FROM scene) GROUP BY tile", "scene")
 def distinct_sorted_ids(spark, d):
-    return sorted_ids(scenes(spark, d).where("sid % 97 = 0"))
-
-
-# The query above lists the ids that 97 divides, as its SQL says; this lists all.
-@query("distinct_sorted_ids_all", "SELECT tile, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS sids FROM (SELECT DISTINCT tile, sid FROM scene) GROUP BY tile", "scene")
-def distinct_sorted_ids_all(spark, d):
     return sorted_ids(scenes(spark, d))
 
 

@@ -130,15 +130,15 @@ def next_and_previous(spark, d):
     return T.wrapped(ahead, "i", -1).select("c_custkey", "following", F.col("target").alias("preceding"))
 
 
-WIND = """i AS (SELECT event_id AS image_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT ts, value AS u, CAST(event_id % 17 AS DOUBLE) AS v FROM events WHERE event_type = 'view' AND event_id % 10 = 0),
+WIND = """i AS (SELECT event_id AS image_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT ts, value AS u, CAST(event_id % 17 AS DOUBLE) AS v FROM events WHERE event_type = 'view'),
 m AS (SELECT image_id, r.ts AS record_ts, u, v, row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS rn, count(*) OVER (PARTITION BY image_id) AS n FROM i JOIN r ON r.ts >= i.ts - INTERVAL 1 HOUR AND r.ts < i.ts + INTERVAL 1 HOUR)
 SELECT i.image_id, record_ts, round(u, 6) AS u, v, coalesce(n, 0) AS candidates FROM i LEFT JOIN m ON m.image_id = i.image_id AND rn = 1"""
 
 
-def asof(spark, d, choice: str, of: str = "event_type = 'view' and event_id % 10 = 0") -> DataFrame:
+def asof(spark, d, choice: str) -> DataFrame:
     e = table(spark, d, "events")
     images = e.where("event_type = 'click'").select(F.col("event_id").alias("image_id"), "ts")
-    records = e.where(of).select("ts", F.col("value").alias("u"), (F.col("event_id") % 17).cast("double").alias("v"))
+    records = e.where("event_type = 'view'").select("ts", F.col("value").alias("u"), (F.col("event_id") % 17).cast("double").alias("v"))
     out = S.asof_in_window(images, records, "image_id", ["u", "v"], 1.0, choice)
     return out.select("image_id", "record_ts", r6("u").alias("u"), "v", "candidates")
 
@@ -153,20 +153,6 @@ def asof_wind_nearest(spark, d):
     return asof(spark, d, "nearest")
 
 
-# The two queries above join a tenth of the wind records, as their SQL says; these join all.
-WIND_ALL = WIND.replace(" AND event_id % 10 = 0", "")
-
-
-@query("asof_wind_earliest_all", f"WITH {WIND_ALL.format(order='r.ts, u, v')}")
-def asof_wind_earliest_all(spark, d):
-    return asof(spark, d, "earliest", "event_type = 'view'")
-
-
-@query("asof_wind_nearest_all", f"WITH {WIND_ALL.format(order='abs(epoch_us(r.ts) - epoch_us(i.ts)), r.ts, u, v')}")
-def asof_wind_nearest_all(spark, d):
-    return asof(spark, d, "nearest", "event_type = 'view'")
-
-
 @query("detections_reviewed", "SELECT system_index, EXISTS (SELECT 1 FROM obs r WHERE r.event_type = 'signup' AND r.structure_id = o.structure_id AND r.system_index % 10 = o.system_index % 10) AS reviewed FROM obs o WHERE event_type = 'view'", "obs")
 def detections_reviewed(spark, d):
     o = obs(spark, d).withColumn("k", F.col("system_index") % 10)
@@ -228,19 +214,9 @@ def sites_in_polygon(spark, d):
 
 
 @query("scenes_of_sites", """
-SELECT site_id, event_id AS sid FROM site JOIN events ON event_id % 500 = site_id AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08' WHERE site_id < 500""", "site")
-def scenes_of_sites(spark, d):
-    sites = view(spark, d, "site").where("site_id < 500").select(F.col("site_id").alias("row_index"), F.col("site_id").cast("double").alias("lon"), F.lit(0.0).alias("lat"), F.lit("2024-01-05").cast("date").alias("start"), F.lit("2024-01-08").cast("date").alias("end_exclusive"), F.lit(None).cast("array<string>").alias("system_index"))
-    place = (F.col("event_id") % 500).cast("double")
-    scenes = table(spark, d, "events").select(F.col("event_id").cast("string").alias("sid"), F.col("ts").alias("sensing_ts"), place.alias("west"), place.alias("east"), F.lit(-1.0).alias("south"), F.lit(1.0).alias("north"))
-    return readers.resolved_sites(sites, scenes).select(F.col("row_index").alias("site_id"), F.col("sid").cast("bigint").alias("sid"))
-
-
-# The query above has 500 sites at any scale, as its SQL says; this places the scenes over all sites.
-@query("scenes_of_all_sites", """
 WITH k AS (SELECT min(site_id) AS lo, count(*) AS n FROM site)
 SELECT site_id, event_id AS sid FROM events CROSS JOIN k JOIN site ON lo + event_id % n = site_id AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'""", "site")
-def scenes_of_all_sites(spark, d):
+def scenes_of_sites(spark, d):
     every = view(spark, d, "site")
     sites = every.select(F.col("site_id").alias("row_index"), F.col("site_id").cast("double").alias("lon"), F.lit(0.0).alias("lat"), F.lit("2024-01-05").cast("date").alias("start"), F.lit("2024-01-08").cast("date").alias("end_exclusive"), F.lit(None).cast("array<string>").alias("system_index"))
     place = (F.col("lo") + F.col("event_id") % F.col("n")).cast("double")
@@ -259,14 +235,8 @@ def members(o: DataFrame) -> DataFrame:
     return o.select("structure_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ";").alias("members"))
 
 
-@query("group_members", "SELECT structure_id, string_agg(CAST(system_index AS VARCHAR), ';' ORDER BY system_index) AS members FROM obs WHERE event_type = 'error' GROUP BY 1", "obs")
+@query("group_members", "SELECT structure_id, string_agg(CAST(system_index AS VARCHAR), ';' ORDER BY system_index) AS members FROM obs GROUP BY 1", "obs")
 def group_members(spark, d):
-    return members(obs(spark, d).where("event_type = 'error'"))
-
-
-# The query above groups the errors, as its SQL says; this groups all observations.
-@query("group_members_all", "SELECT structure_id, string_agg(CAST(system_index AS VARCHAR), ';' ORDER BY system_index) AS members FROM obs GROUP BY 1", "obs")
-def group_members_all(spark, d):
     return members(obs(spark, d))
 
 

@@ -21,7 +21,7 @@ def test_all_wind_records_are_joined(spark, choice):
         want[image.event_id] = (len(met), far.min() if len(met) else None)
     got = {}
     clicks = e.set_index("event_id").ts
-    for r in registry.QUERIES[f"asof_wind_{choice}_all"](spark, FOLDER).collect():
+    for r in registry.QUERIES[f"asof_wind_{choice}"](spark, FOLDER).collect():
         at = None if r["record_ts"] is None else pd.Timestamp(r["record_ts"])
         got[r["image_id"]] = (r["candidates"], at if at is None or choice == "earliest" else abs(at - clicks[r["image_id"]]))
     assert got == want and sum(n for n, _ in got.values()) > 0
@@ -30,11 +30,11 @@ def test_all_wind_records_are_joined(spark, choice):
 def test_every_id_of_a_tile_is_listed(spark):
     o = pd.read_parquet(f"{FOLDER}/orders.parquet")
     want = o.groupby(o.o_custkey % 50).o_orderkey.agg(lambda k: ",".join(map(str, sorted(set(k))))).to_dict()
-    assert {r["tile"]: r["sids"] for r in registry.QUERIES["distinct_sorted_ids_all"](spark, FOLDER).collect()} == want
+    assert {r["tile"]: r["sids"] for r in registry.QUERIES["distinct_sorted_ids"](spark, FOLDER).collect()} == want
 
 
 def test_every_scene_has_its_place_and_missing_angles_are_last(spark):
-    rows = sorted(registry.QUERIES["scenes_by_alpha_all"](spark, FOLDER).collect(), key=lambda r: r["place"])
+    rows = sorted(registry.QUERIES["scenes_by_alpha_missing_last"](spark, FOLDER).collect(), key=lambda r: r["place"])
     o = pd.read_parquet(f"{FOLDER}/orders.parquet")
     assert [r["place"] for r in rows] == list(range(1, len(o) + 1)) and {r["sid"] for r in rows} == set(o.o_orderkey)
     order = [(r["alpha"] is None, r["alpha"] or 0.0, r["sid"]) for r in rows]
@@ -56,11 +56,11 @@ def test_scenes_are_found_for_sites_of_the_whole_table(spark):
     e = pd.read_parquet(f"{FOLDER}/events.parquet")
     e = e[(e.ts >= "2024-01-05") & (e.ts < "2024-01-08")]
     want = {(sites[0] + k % len(sites), k) for k in e.event_id}
-    rows = registry.QUERIES["scenes_of_all_sites"](spark, FOLDER).collect()
+    rows = registry.QUERIES["scenes_of_sites"](spark, FOLDER).collect()
     assert len(rows) == len(want) and {(r["site_id"], r["sid"]) for r in rows} == want
 
 
 def test_all_observations_of_a_structure_are_members(spark):
     e = pd.read_parquet(f"{FOLDER}/events.parquet")
     want = e.groupby("user_id").event_id.agg(lambda k: ";".join(map(str, sorted(k)))).to_dict()
-    assert {r["structure_id"]: r["members"] for r in registry.QUERIES["group_members_all"](spark, FOLDER).collect()} == want
+    assert {r["structure_id"]: r["members"] for r in registry.QUERIES["group_members"](spark, FOLDER).collect()} == want
