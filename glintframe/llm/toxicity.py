@@ -48,7 +48,7 @@ LEAST_EPOCHS, MOST_EPOCHS = 3, 12
 TABLE_RATE = 2.0  # the tables' rate over that of the rest
 MOST_TOXIC = 3  # windows of a document in a training step: its most toxic ones, and as many others
 LEAST_DOCUMENTS = 10  # table rows met in fewer documents of the sample are not trained (fewer in small samples)
-REMEMBERED = 200_000  # words whose inputs a worker keeps
+REMEMBERED = 120_000  # words whose inputs a worker keeps
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -197,8 +197,8 @@ class Model:
         new = [w for w in every if w not in rows]
         if new:
             at, room = 1 + len(rows), len(_met["inputs"])
-            if at + len(new) > room:  # room at least doubles, so words are seldom copied
-                more = np.zeros((max(2 * room, at + len(new)) - room, 6 * HIDDEN), dtype=np.float32)
+            if at + len(new) > room:  # room grows by a quarter at least, so words are seldom copied
+                more = np.zeros((max(room // 4, at + len(new) - room), 6 * HIDDEN), dtype=np.float32)
                 _met["inputs"] = np.concatenate([_met["inputs"], more])
             rows.update(zip(new, range(at, at + len(new))))
             for part in in_slices(new, 4000):
