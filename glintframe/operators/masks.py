@@ -10,6 +10,7 @@ from ..functions.scalars import all_of, col, divided, glint_angle, metre_offsets
 
 P = MaskParams()
 ANGLES = ["sza", "saa", "vza_b11", "vaa_b11", "vza_b12", "vaa_b12"]
+ON_LINE_M = 1e-6  # what counts as on the line across the wind
 
 
 # -- scenes ----------------------------------------------------------------------------------------
@@ -78,10 +79,13 @@ def calm(speed="wind_speed", limit: float = P.wind_high, invert: bool = False) -
 
 
 def dot_nonpositive(lon, lat, lon0, lat0, direction, invert: bool = False) -> Column:
-    """Half-plane dx cos + dy sin <= 0 against the wind direction; all pixels without a direction."""
+    """Half-plane dx cos + dy sin <= 0 against the wind direction; all pixels without a direction.
+
+    Pixels within a thousandth of a millimetre of the line lie on it, so that the last bit of a sine does not decide.
+    """
     dx, dy = metre_offsets(lon, lat, lon0, lat0)
     t = F.radians(col(direction))
-    half = dx * F.cos(t) + dy * F.sin(t) <= 0
+    half = dx * F.cos(t) + dy * F.sin(t) <= ON_LINE_M
     return F.when(col(direction).isNull(), True).otherwise(~half if invert else half)
 
 
@@ -127,6 +131,17 @@ def masked(value, condition: Column) -> Column:
     return F.when(condition, col(value))
 
 
+def with_clouds(pixels: DataFrame, scores: DataFrame, probabilities: DataFrame, keys: tuple[str, ...] = ("sid", "row", "col")) -> DataFrame:
+    """`pixels` with cs_cdf and probability of the two cloud tables; NULL where a table has no such pixel.
+
+    Scenes that a table lacks keep their pixels. A cloud pixel given twice counts once, with its least score or
+    largest probability.
+    """
+    score = scores.groupBy(*keys).agg(F.min("cs_cdf").alias("cs_cdf"))
+    probability = probabilities.groupBy(*keys).agg(F.max("probability").alias("probability"))
+    return pixels.join(score, list(keys), "left").join(probability, list(keys), "left")
+
+
 # -- composites ------------------------------------------------------------------------------------
 
 def scene_cloud_tiers(pixels: DataFrame, by: str = "sid") -> DataFrame:

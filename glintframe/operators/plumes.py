@@ -54,7 +54,8 @@ def components(cells: DataFrame, tile: int = 1024, by: str = "sid") -> DataFrame
     """`cells` (sid, row, col, ...) with `label`, the 4-connected component.
 
     Tiles are labelled apart, so a task holds one tile whatever the scene's size; labels that touch
-    across a tile border are joined by minimum labels until none changes.
+    across a tile border are joined by minimum labels and pointer jumping, so that an island over n
+    tiles takes about log n rounds.
     """
     tiled = cells.withColumn("__tr", F.floor(F.col("row") / tile)).withColumn("__tc", F.floor(F.col("col") / tile))
 
@@ -76,9 +77,11 @@ def components(cells: DataFrame, tile: int = 1024, by: str = "sid") -> DataFrame
         best = checkpointed(touch.groupBy(by, "a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
         while True:
             near = touch.join(best.select(by, F.col("a").alias("b"), F.col("to").alias("far")), [by, "b"]).groupBy(by, "a").agg(F.min("far").alias("far"))
-            after = checkpointed(best.join(near, [by, "a"]).select(by, "a", F.least("to", "far").alias("to"), F.col("to").alias("old")))
+            jump = best.select(by, F.col("a").alias("mid"), F.col("to").alias("next"))  # a label's own label: every label here is an `a`
+            after = best.join(near, [by, "a"]).select(by, "a", F.least("to", "far").alias("mid"), F.col("to").alias("old")).join(jump, [by, "mid"])
+            after = checkpointed(after.select(by, "a", F.least("mid", "next").alias("to"), "old"))
             done = after.where("to != old").isEmpty()
-            best = after.drop("old")
+            best = after.select(by, "a", "to")
             if done:
                 break
         local = local.join(best.withColumnRenamed("a", "label"), [by, "label"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
@@ -170,6 +173,38 @@ def plume_outlines(plumes: DataFrame, west: float = 0.0, north: float = 0.0, dx:
     return plumes.groupBy(by, "label").applyInPandas(outline, f"{by} {kind}, label long, geometry string")
 
 
+def burnt_cells(polygons: list, west: float, north: float, dx: float, dy: float) -> tuple[np.ndarray, np.ndarray]:
+    """row, col of the cells whose centre lies in a MultiPolygon's coordinates, by the even-odd rule along each row."""
+    edges = [np.column_stack([ring[:-1], ring[1:]]) for polygon in polygons for ring in (np.asarray(r, dtype=float) for r in polygon)]
+    if not edges:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x0, y0, x1, y1 = ((np.concatenate(edges) - [west, north, west, north]) / [dx, dy, dx, dy]).T
+    first = np.ceil(np.minimum(y0, y1) - 0.5).astype(np.int64)  # centres r + 0.5 of [low, high)
+    n = np.ceil(np.maximum(y0, y1) - 0.5).astype(np.int64) - first
+    e = np.repeat(np.arange(len(n)), n)
+    r = first[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+    x = x0[e] + (r + 0.5 - y0[e]) * (x1[e] - x0[e]) / (y1[e] - y0[e])
+    c = np.ceil(x - 0.5).astype(np.int64)  # the crossing switches every centre from here on
+    order = np.lexsort((c, r))
+    r, c = r[order], c[order]
+    start, length = c[::2], c[1::2] - c[::2]  # crossings of a row come in pairs
+    rows = np.repeat(r[::2], length)
+    return rows, np.repeat(start, length) + np.arange(len(rows)) - np.repeat(np.cumsum(length) - length, length)
+
+
+def burnt(outlines: DataFrame, west: float = 0.0, north: float = 0.0, dx: float = 1.0, dy: float = -1.0, by: str = "sid") -> DataFrame:
+    """sid, label, row, col of the cells whose centre lies in each outline (GeoJSON MultiPolygon): `plume_outlines` undone."""
+    kind = dict(outlines.dtypes)[by]
+
+    def cells(frames):
+        for pdf in frames:
+            for s, label, text in zip(pdf[by], pdf["label"], pdf["geometry"]):
+                r, c = burnt_cells(json.loads(text)["coordinates"], west, north, dx, dy)
+                yield pd.DataFrame({by: [s] * len(r), "label": label, "row": r, "col": c})
+
+    return outlines.select(by, "label", "geometry").mapInPandas(cells, f"{by} {kind}, label long, row long, col long")
+
+
 def flare_centroids(pixels: DataFrame, by: str = "sid") -> DataFrame:
     """sid, centroids: array of (lon, lat) of the regions where the anomaly equals its scene's largest."""
     top = pixels.groupBy(by).agg(F.max("tai").alias("__top"))

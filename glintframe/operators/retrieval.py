@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, divided, glint_index_clamped, mbsp_ratio, visible
+from ..functions.scalars import col, divided, glint_index_clamped, mbsp_ratio, metre_offsets, visible
+
+UNIT = 10_000.0  # digital numbers of a reflectance of 1
+FIT_REACH_M = 50_000.0
 
 
 def c_factor(mask: Column | None = None, b11="b11", b12="b12") -> Column:
@@ -52,18 +55,23 @@ def fit_two_without_intercept(y, x1, x2) -> tuple[Column, Column]:
     return divided(t1 * s22 - t2 * s12, d), divided(s11 * t2 - s12 * t1, d)
 
 
-def complex_retrieval(pixels: DataFrame, low: float, high: float, by: str = "sid") -> DataFrame:
+def complex_retrieval(pixels: DataFrame, low: float, high: float, by: str = "sid", reach_m: float = FIT_REACH_M, unit: float = UNIT) -> DataFrame:
     """The two-fit ratio: flatten both bands along the glint index, refit, ratio, glint angle window.
 
-    Adds sgi_c, a0, a1, b11f, b12f, c0, c1, r; r is NULL outside low < sga < high.
+    Bands count in reflectance (digital number / unit), which the small constants are meant for. Both
+    fits take the pixels at most reach_m from the site; every pixel gets a ratio. Adds sgi_c, a0, a1,
+    b11f, b12f, c0, c1, r; r is NULL outside low < sga < high.
     """
-    p = pixels.withColumn("sgi_c", glint_index_clamped("b12", visible("b2", "b3", "b4")))
-    a0, a1 = fit_with_intercept("b11", "sgi_c")
+    b2, b3, b4, b11, b12 = (F.col(b) / unit for b in ("b2", "b3", "b4", "b11", "b12"))
+    dx, dy = metre_offsets("lon", "lat", "site_lon", "site_lat")
+    p = pixels.withColumn("sgi_c", glint_index_clamped(b12, visible(b2, b3, b4))).withColumn("__near", dx * dx + dy * dy <= reach_m * reach_m)
+    near = lambda x: F.when(F.col("__near"), x)
+    a0, a1 = fit_with_intercept(near(b11), F.col("sgi_c"))
     p = p.join(p.groupBy(by).agg(a0.alias("a0"), a1.alias("a1")), by)
     fit = F.col("a0") + F.col("a1") * F.col("sgi_c")
-    p = p.withColumn("b11f", F.col("b11") - fit).withColumn("b12f", F.col("b12") - fit * divided("b12", F.col("b11") + 1e-6))
-    c0, c1 = fit_two_without_intercept("b11f", "b12f", F.col("b12f") * F.col("sgi_c"))
-    p = p.join(p.groupBy(by).agg(c0.alias("c0"), c1.alias("c1")), by)
+    p = p.withColumn("b11f", b11 - fit).withColumn("b12f", b12 - fit * divided(b12, b11 + 1e-6))
+    c0, c1 = fit_two_without_intercept(near(F.col("b11f")), F.col("b12f"), F.col("b12f") * F.col("sgi_c"))
+    p = p.join(p.groupBy(by).agg(c0.alias("c0"), c1.alias("c1")), by).drop("__near")
     c = F.col("c0") + F.col("c1") * F.col("sgi_c")
     r = divided(c * F.col("b12f") - F.col("b11f"), F.col("b11f") + 1e-6)
     return p.withColumn("r", F.when((F.col("sga") > low) & (F.col("sga") < high), r))

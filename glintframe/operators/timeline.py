@@ -97,3 +97,14 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None)
     out = every.join(counts, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     run = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("cumulative", F.sum("n").over(run))
+
+
+def pixel_composite(pixels: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """keys, <value>_min, <value>_max, <value>_mean, n: each pixel over all its scenes, NULLs left out; one map-side aggregation."""
+    return pixels.groupBy(*keys).agg(F.min(value).alias(f"{value}_min"), F.max(value).alias(f"{value}_max"), F.avg(value).alias(f"{value}_mean"), F.count(value).alias("n"))
+
+
+def sampled_keys(df: DataFrame, key: str, fraction: float = 0.001, seed: int = 6) -> DataFrame:
+    """max(1, fraction of the) distinct keys, the first by the hash of key and seed: the same ones on every run."""
+    keys = df.select(key).distinct()
+    return keys.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(max(1, int(keys.count() * fraction)))

@@ -11,6 +11,7 @@ from ..operators import masks as M
 from ..operators import neighbour as N
 from ..operators import plumes as G
 from ..operators import retrieval as R
+from ..operators import timeline as T_
 from ..operators.timeline import zonal
 from .adapters import view
 from .catalog import DX, DY, SGI, SGIC, TAI, WATER, query, r6
@@ -102,6 +103,15 @@ def tiered(p: DataFrame) -> DataFrame:
     return p.join(M.scene_cloud_tiers(p), "sid")
 
 
+@query("cloud_tables_join", f"WITH tiers AS ({TIERS}) SELECT sid, count(*) AS n, count(cs_cdf) AS n_scored, count(probability) AS n_probable, count_if({CLOUD}) AS n_on FROM px JOIN tiers USING (sid) GROUP BY sid", "px")
+def cloud_tables_join(spark, d):
+    """Bands, cloud scores and cloud probabilities as three tables, met pixel by pixel."""
+    p = px(spark, d)
+    scores, probabilities = (p.where(F.col(c).isNotNull()).select("sid", "row", "col", c) for c in ("cs_cdf", "probability"))
+    met = tiered(M.with_clouds(p.drop("cs_cdf", "probability"), scores, probabilities))
+    return met.groupBy("sid").agg(F.count("*").alias("n"), F.count("cs_cdf").alias("n_scored"), F.count("probability").alias("n_probable"), F.count_if(M.cloud_free()).alias("n_on"))
+
+
 @query("cloud_tier", f"WITH tiers AS ({TIERS}) SELECT sid, count_if({CLOUD}) AS n_on, count_if(NOT {CLOUD}) AS n_off, count_if(({CLOUD}) IS NULL) AS n_null FROM px JOIN tiers USING (sid) GROUP BY sid", "px")
 def cloud_tier(spark, d):
     return counted(tiered(px(spark, d)), M.cloud_free())
@@ -124,10 +134,7 @@ def windspeed_mask(spark, d):
 
 @query("downwind_halfplane", f"SELECT sid, count_if(u IS NULL OR {DX} * cos(radians({DIRECTION})) + {DY} * sin(radians({DIRECTION})) <= 1E-6) AS n_half, count_if(u IS NULL) AS n_all FROM px GROUP BY sid", "px")
 def downwind_halfplane(spark, d):
-    dx, dy = X.metre_offsets("lon", "lat", "site_lon", "site_lat")
-    t = F.radians(X.wind_direction("u", "v"))
-    near_zero = F.abs(dx * F.cos(t) + dy * F.sin(t)) <= 1e-6  # rounding must not decide what lies on the line
-    half = M.dot_nonpositive("lon", "lat", "site_lon", "site_lat", X.wind_direction("u", "v")) | near_zero
+    half = M.dot_nonpositive("lon", "lat", "site_lon", "site_lat", X.wind_direction("u", "v"))
     return px(spark, d).groupBy("sid").agg(F.count_if(half).alias("n_half"), F.count_if(F.col("u").isNull()).alias("n_all"))
 
 
@@ -142,7 +149,7 @@ DATA = "b11 IS NOT NULL AND b12 IS NOT NULL"
 IN5, IN15 = (f"({DX} * {DX} + {DY} * {DY} <= {r}E0)" for r in (25_000_000, 225_000_000))
 OUT1 = f"({DX} * {DX} + {DY} * {DY} > 1000000E0)"
 DOTS = f"({DX} * cos(radians(wind_dir)) + {DY} * sin(radians(wind_dir)))"
-REGION = f"({IN5} AND ((u IS NULL OR NOT {DOTS} <= 0) OR {OUT1}))"
+REGION = f"({IN5} AND ((u IS NULL OR NOT {DOTS} <= 1E-6) OR {OUT1}))"
 C_MASK = f"coalesce({REGION} AND {DATA} AND " + " AND ".join(PARTS.values()) + ", false)"
 M_MASK = f"coalesce({IN15} AND {DATA} AND " + " AND ".join(PARTS[k] for k in ("saturation", "cloud", "water", "wind")) + ", false)"
 
@@ -152,17 +159,9 @@ def mask_composite_mbsp(spark, d):
     return masked_pixels(spark, d).groupBy("sid").agg(F.count_if(M.composite(M.parts_for_mbsp())).alias("n_kept"), F.count("*").alias("n"))
 
 
-# Pixels at exactly a right angle to the wind would hang on the last bit of two sines: shift the site by a hair.
-SHIFT = "site_shift AS (SELECT * REPLACE (site_lon + 1.3E-5 AS site_lon, site_lat + 1.7E-5 AS site_lat) FROM masked)"
-
-
-def shifted(p: DataFrame) -> DataFrame:
-    return p.withColumns({"site_lon": F.col("site_lon") + 1.3e-5, "site_lat": F.col("site_lat") + 1.7e-5})
-
-
-@query("mask_composite_c", f"WITH tiers AS ({TIERS}), {MASKED}, {SHIFT} SELECT sid, count_if({C_MASK}) AS n_kept, count(*) AS n FROM site_shift GROUP BY sid", "px")
+@query("mask_composite_c", f"WITH tiers AS ({TIERS}), {MASKED} SELECT sid, count_if({C_MASK}) AS n_kept, count(*) AS n FROM masked GROUP BY sid", "px")
 def mask_composite_c(spark, d):
-    return shifted(masked_pixels(spark, d)).groupBy("sid").agg(F.count_if(M.composite(M.parts_for_c())).alias("n_kept"), F.count("*").alias("n"))
+    return masked_pixels(spark, d).groupBy("sid").agg(F.count_if(M.composite(M.parts_for_c())).alias("n_kept"), F.count("*").alias("n"))
 
 
 _N = f"count_if({DATA})"
@@ -231,15 +230,29 @@ def regr_two_pred_no_intercept(spark, d):
     return px(spark, d).groupBy("sid").agg(r6(c0).alias("c0"), r6(c1).alias("c1"))
 
 
-@query("mbsp_complex", f"""
-WITH p AS (SELECT *, {SGIC} AS s FROM px), f1 AS (SELECT sid, regr_intercept(b11, s) AS a0, regr_slope(b11, s) AS a1 FROM p GROUP BY sid),
+COMPLEX = f"""
+WITH refl AS (SELECT * REPLACE (b2 / 1E4 AS b2, b3 / 1E4 AS b3, b4 / 1E4 AS b4, b11 / 1E4 AS b11, b12 / 1E4 AS b12) FROM px),
+p AS (SELECT *, {SGIC} AS s, {DX} * {DX} + {DY} * {DY} <= REACH AS near FROM refl), f1 AS (SELECT sid, regr_intercept(b11, s) AS a0, regr_slope(b11, s) AS a1 FROM p WHERE near GROUP BY sid),
 q AS (SELECT p.*, b11 - (a0 + a1 * s) AS b11f, b12 - (a0 + a1 * s) * b12 / (b11 + 1E-6) AS b12f FROM p JOIN f1 USING (sid)),
-n AS (SELECT sid, {TWO} FROM (SELECT sid, b12f AS x1, b12f * s AS x2, b11f AS y FROM q WHERE b11f IS NOT NULL AND b12f IS NOT NULL) GROUP BY sid),
+n AS (SELECT sid, {TWO} FROM (SELECT sid, b12f AS x1, b12f * s AS x2, b11f AS y FROM q WHERE near AND b11f IS NOT NULL AND b12f IS NOT NULL) GROUP BY sid),
 c AS (SELECT sid, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS c0, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) AS c1 FROM n)
-SELECT sid, round(any_value(c0), 4) AS c0, round(any_value(c1), 4) AS c1, count(CASE WHEN sga > 5 AND sga < 35 THEN ((c0 + c1 * s) * b12f - b11f) / (b11f + 1E-6) END) AS n_r FROM q JOIN c USING (sid) GROUP BY sid""", "px")
+SELECT sid, round(any_value(c0), 4) AS c0, round(any_value(c1), 4) AS c1, count(r) AS n_r, round(median(r), 4) AS r_median
+FROM (SELECT *, CASE WHEN sga > 5 AND sga < 35 THEN ((c0 + c1 * s) * b12f - b11f) / (b11f + 1E-6) END AS r FROM q JOIN c USING (sid)) GROUP BY sid"""
+
+
+def two_fits(p: DataFrame) -> DataFrame:
+    return p.groupBy("sid").agg(F.round(F.max("c0"), 4).alias("c0"), F.round(F.max("c1"), 4).alias("c1"), F.count("r").alias("n_r"), F.round(F.median("r"), 4).alias("r_median"))
+
+
+@query("mbsp_complex", COMPLEX.replace("REACH", "2500000000E0"), "px")
 def mbsp_complex(spark, d):
-    p = R.complex_retrieval(px(spark, d), 5.0, 35.0)
-    return p.groupBy("sid").agg(F.round(F.max("c0"), 4).alias("c0"), F.round(F.max("c1"), 4).alias("c1"), F.count("r").alias("n_r"))
+    return two_fits(R.complex_retrieval(px(spark, d), 5.0, 35.0))
+
+
+@query("mbsp_complex_near", COMPLEX.replace("REACH", "40000E0"), "px")
+def mbsp_complex_near(spark, d):
+    """Both fits within 200 m of the site, where the scenes reach further."""
+    return two_fits(R.complex_retrieval(px(spark, d), 5.0, 35.0, reach_m=200.0))
 
 
 @query("corrected_band", """
@@ -251,7 +264,7 @@ def corrected_band(spark, d):
 
 
 @query("two_date_difference", """
-WITH r AS (SELECT sid, "row", col, CASE WHEN b11 <> 0 THEN (c * b12 - b11) / b11 END AS r FROM (
+WITH r AS MATERIALIZED (SELECT sid, "row", col, CASE WHEN b11 <> 0 THEN (c * b12 - b11) / b11 END AS r FROM (
   SELECT *, sum(b11 * b12) OVER (PARTITION BY sid) / sum(CASE WHEN b11 IS NOT NULL THEN b12 * b12 END) OVER (PARTITION BY sid) AS c FROM px))
 SELECT a.sid, a."row" AS grid_row, a.col AS grid_col, round(a.r - b.r, 6) AS mbmp FROM r a JOIN r b ON b.sid = a.sid + 1 AND a."row" = b."row" AND a.col = b.col WHERE a.sid % 2 = 0""", "px")
 def two_date_difference(spark, d):
@@ -319,11 +332,12 @@ def detector_mean(spark, d):
 T = PlumeThresholds()
 RATIO = """ratio AS (SELECT sid, CAST("row" AS BIGINT) AS r, CAST(col AS BIGINT) AS c, CASE WHEN b11 <> 0 THEN (k * b12 - b11) / b11 END AS x FROM (
   SELECT *, sum(b11 * b12) OVER (PARTITION BY sid) / sum(CASE WHEN b11 IS NOT NULL THEN b12 * b12 END) OVER (PARTITION BY sid) AS k FROM px))"""
-PLUMES = f"""{RATIO}, p1 AS (SELECT *, r * 1000000 + c AS own FROM ratio WHERE x <= -0.02E0),
+HYSTERESIS = """p1 AS (SELECT *, r * 1000000 + c AS own FROM ratio WHERE x <= -0.02E0),
 reach(sid, own, label) AS (SELECT sid, own, own FROM p1 UNION SELECT n.sid, n.own, reach.label FROM reach JOIN p1 m ON m.sid = reach.sid AND m.own = reach.own
   JOIN p1 n ON n.sid = m.sid AND abs(n.r - m.r) + abs(n.c - m.c) = 1 AND reach.label < n.own),
 lab AS (SELECT sid, own, min(label) AS label FROM reach GROUP BY 1, 2), cells AS (SELECT p1.sid, p1.r, p1.c, label, x FROM p1 JOIN lab USING (sid, own)),
 strong AS (SELECT DISTINCT sid, label FROM cells WHERE x <= -0.08E0), plume AS (SELECT cells.* FROM cells JOIN strong USING (sid, label) WHERE x <= -0.04E0)"""
+PLUMES = f"{RATIO}, {HYSTERESIS}"
 
 
 def ratios(spark, d) -> DataFrame:
@@ -343,10 +357,33 @@ def plume_outlines(spark, d):
     return G.plume_outlines(G.plume_pixels(ratios(spark, d), "r", T.p1, T.p2, T.p3))
 
 
-@query("flare_centroids")
+@query("plume_outline_masks", f"""WITH RECURSIVE {PLUMES}
+SELECT sid, label, count(*) AS n_px, CAST(sum(r) AS BIGINT) AS rows_sum, CAST(sum(c) AS BIGINT) AS cols_sum FROM plume GROUP BY sid, label""", "px")
+def plume_outline_masks(spark, d):
+    """The outlines burnt back into the grid: the cells they were drawn around."""
+    cells = G.burnt(plume_outlines(spark, d))
+    return cells.groupBy("sid", "label").agg(F.count("*").alias("n_px"), F.sum("row").alias("rows_sum"), F.sum("col").alias("cols_sum"))
+
+
+@query("flare_centroids", f"""WITH RECURSIVE t AS (SELECT *, {TAI} AS tai FROM px), hot AS (
+  SELECT sid, CAST("row" AS BIGINT) AS r, CAST(col AS BIGINT) AS c, lon, lat, "row" * 1000000 + col AS own FROM (SELECT *, max(tai) OVER (PARTITION BY sid) AS top FROM t) WHERE tai = top),
+reach(sid, own, label) AS (SELECT sid, own, own FROM hot UNION SELECT n.sid, n.own, reach.label FROM reach JOIN hot m ON m.sid = reach.sid AND m.own = reach.own
+  JOIN hot n ON n.sid = m.sid AND abs(n.r - m.r) + abs(n.c - m.c) = 1 AND reach.label < n.own),
+lab AS (SELECT sid, own, min(label) AS label FROM reach GROUP BY 1, 2)
+SELECT sid, CAST(row_number() OVER (PARTITION BY sid ORDER BY label) - 1 AS INT) AS place, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM hot JOIN lab USING (sid, own) GROUP BY sid, label""", "px")
 def flare_centroids(spark, d):
-    p = px(spark, d).select("sid", "row", "col", "lon", "lat", F.round(X.thermal_anomaly("b8a", "b11", "b12"), 1).alias("tai"))
-    return G.flare_centroids(p).select("sid", F.size("centroids").alias("n_flares"), F.transform("centroids", lambda s: F.struct(F.round(s["lon"], 6).alias("lon"), F.round(s["lat"], 6).alias("lat"))).alias("centroids"))
+    p = px(spark, d).select("sid", "row", "col", "lon", "lat", X.thermal_anomaly("b8a", "b11", "b12").alias("tai"))
+    found = G.flare_centroids(p).select("sid", F.posexplode("centroids").alias("place", "centre"))
+    return found.select("sid", "place", r6(F.col("centre.lon")).alias("lon"), r6(F.col("centre.lat")).alias("lat"))
+
+
+@query("pixel_composite", """
+SELECT "row" AS grid_row, col AS grid_col, min(sga) AS sga_min, max(sga) AS sga_max, round(avg(sga), 6) AS sga_mean, count(sga) AS n FROM (
+  SELECT "row", col, CASE WHEN b12 IS NOT NULL THEN sga END AS sga FROM px) GROUP BY 1, 2""", "px")
+def pixel_composite(spark, d):
+    p = px(spark, d).withColumn("seen", F.when(F.col("b12").isNotNull(), F.col("sga")))
+    out = T_.pixel_composite(p, "seen", ["row", "col"])
+    return out.select(F.col("row").alias("grid_row"), F.col("col").alias("grid_col"), F.col("seen_min").alias("sga_min"), F.col("seen_max").alias("sga_max"), r6("seen_mean").alias("sga_mean"), "n")
 
 
 @query("absorption_roundtrip", "SELECT sid, \"row\" AS grid_row, col AS grid_col, round(exp(-2E0 * sga / 80E0) - exp(-1E0 * sga / 80E0), 6) AS ratio, round(sga / 80E0, 6) AS amount FROM px", "px")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import masks as M
-from ..operators.timeline import first_row, histogram, placed
+from ..operators.timeline import first_row, histogram, placed, sampled_keys
 from ..sources import readers, sinks
 from .adapters import table, view
 from .catalog import ALPHA, ANGLE, query, r6
@@ -134,13 +134,13 @@ def distinct_sorted_ids(spark, d):
     return sorted_ids(scenes(spark, d))
 
 
-@query("sampled_tiles")
+@query("sampled_tiles", """
+WITH t AS (SELECT tile, row_number() OVER (ORDER BY md5(CAST(tile AS VARCHAR) || ':6'), tile) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT tile FROM scene))
+SELECT sid, tile FROM scene WHERE tile IN (SELECT tile FROM t WHERE place <= greatest(1, n // 1000))""", "scene")
 def sampled_tiles(spark, d):
-    """Scenes of a repeatable sample of tiles: max(1, 10 %) tiles by hash, met by a semi-join."""
+    """Scenes of a repeatable sample of tiles, met by a semi-join."""
     s = scenes(spark, d)
-    tiles = s.select("tile").distinct()
-    chosen = tiles.orderBy(F.xxhash64("tile", F.lit(6)), "tile").limit(max(1, tiles.count() // 10))
-    return s.join(chosen, "tile", "left_semi").select("sid", "tile")
+    return s.join(sampled_keys(s, "tile"), "tile", "left_semi").select("sid", "tile")
 
 
 @query("monthly_fan_out", f"WITH {A} SELECT CAST(year(sensing_ts) AS INT) AS y, CAST(month(sensing_ts) AS INT) AS m, count(*) AS n, round(avg(alpha), 6) AS alpha_mean FROM a GROUP BY 1, 2", "scene")

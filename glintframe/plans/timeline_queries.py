@@ -225,7 +225,12 @@ def scenes_of_sites(spark, d):
     return readers.resolved_sites(sites, scenes).select(F.col("row_index").alias("site_id"), F.col("sid").cast("bigint").alias("sid"))
 
 
-@query("group_ids")
+@query("group_ids", """
+WITH RECURSIVE s AS (SELECT site_id, lon, lat, row_number() OVER (ORDER BY site_id) AS k FROM site),
+walk(k, openers) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(lon DOUBLE, lat DOUBLE)[]) UNION ALL
+  SELECT s.k, CASE WHEN len(list_filter(openers, lambda o: (s.lon - o.lon) * (s.lon - o.lon) + (s.lat - o.lat) * (s.lat - o.lat) <= 4E0)) > 0 THEN openers ELSE list_append(openers, {'lon': s.lon, 'lat': s.lat}) END FROM walk JOIN s ON s.k = walk.k + 1),
+o AS (SELECT unnest(openers) AS o, unnest(range(1, len(openers) + 1)) AS number FROM (SELECT openers FROM walk ORDER BY k DESC LIMIT 1))
+SELECT site_id AS ord, max(number) AS group_id FROM s JOIN o ON (s.lon - o.lon) * (s.lon - o.lon) + (s.lat - o.lat) * (s.lat - o.lat) <= 4E0 GROUP BY 1""", "site")
 def group_ids(spark, d):
     return S.group_ids(view(spark, d, "site").withColumnRenamed("site_id", "ord"), buffer=1.0).select("ord", "group_id")
 

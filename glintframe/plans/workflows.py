@@ -19,7 +19,8 @@ from ..operators import retrieval as R
 from ..operators import timeline as T
 from ..sources import readers
 from .adapters import view
-from .catalog import query, r6
+from .catalog import ALPHA, DX, DY, query, r6
+from .pixel_queries import C_MASK, DATA, HYSTERESIS, IN15, M_MASK, MASKED, OUT1, REGION, TIERS
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,15 @@ def plume_workflow(pixels: DataFrame, params: MaskParams | None = None, threshol
     return PlumeResult(status, px.select("sid", "row", "col", "r"), G.plume_stats(cells), cells)
 
 
-@query("plume_workflow")
+@query("plume_workflow", f"""WITH RECURSIVE tiers AS ({TIERS}), {MASKED},
+m AS (SELECT *, {C_MASK} AS mc, {M_MASK} AS mm, coalesce({REGION} AND {DATA}, false) AS bc, coalesce({IN15} AND {DATA}, false) AS bm, abs({DX}) <= 5000 AND abs({DY}) <= 5000 AS box FROM masked),
+k AS (SELECT sid, count_if(box AND mc) / nullif(count_if(box AND bc), 0) AS kept_c, count_if(box AND mm) / nullif(count_if(box AND bm), 0) AS kept_mbsp FROM m GROUP BY sid),
+st AS (SELECT *, CASE WHEN coalesce(kept_c < 0.05E0, true) THEN 'c mask mostly empty' WHEN coalesce(kept_mbsp < 0.05E0, true) THEN 'mbsp mask mostly empty' ELSE 'ok' END AS status FROM k),
+ratio AS (SELECT sid, CAST("row" AS BIGINT) AS r, CAST(col AS BIGINT) AS c, CASE WHEN mm AND b11 <> 0 THEN CAST(CAST((slope * b12 - b11) / b11 AS FLOAT) AS DOUBLE) END AS x FROM (
+  SELECT m.*, sum(CASE WHEN mc THEN b11 * b12 END) OVER (PARTITION BY sid) / sum(CASE WHEN mc THEN b12 * b12 END) OVER (PARTITION BY sid) AS slope FROM m JOIN st USING (sid) WHERE status = 'ok') WHERE NOT {OUT1}),
+{HYSTERESIS}
+SELECT sid, status, round(kept_c, 6) AS kept_c, round(kept_mbsp, 6) AS kept_mbsp, coalesce(n_plumes, 0) AS n_plumes, strongest
+FROM st LEFT JOIN (SELECT sid, count(DISTINCT label) AS n_plumes, round(min(x), 6) AS strongest FROM plume GROUP BY sid) USING (sid)""", "px")
 def plume_workflow_query(spark: SparkSession, d: str) -> DataFrame:
     """Status and number of plumes of every scene."""
     out = plume_workflow(view(spark, d, "px"), MaskParams(least_kept=0.05))
@@ -130,9 +139,13 @@ def glint_composite(scenes: DataFrame, cloud_below: float = 20.0) -> DataFrame:
     return out.withColumn("min_name", composite_name("month_start", "min")).withColumn("max_name", composite_name("month_start", "max"))
 
 
-@query("glint_composite")
+@query("glint_composite", f"""
+SELECT month_start, tile, round(min(alpha), 6) AS alpha_min, round(max(alpha), 6) AS alpha_max, any_value(name || 'min') AS min_name, any_value(name || 'max') AS max_name
+FROM (SELECT tile, date_trunc('month', sensing_ts) AS month_start, {ALPHA} AS alpha, lower(strftime(sensing_ts, '%B')) || strftime(sensing_ts, '%Y') || '_sunglintAlpha_' AS name
+      FROM scene WHERE cloudy_pixel_pct < 20 AND sza > 0 AND saa > 0 AND vza_b11 > 0 AND vaa_b11 > 0 AND vza_b12 > 0 AND vaa_b12 > 0) GROUP BY month_start, tile""", "scene")
 def glint_composite_query(spark: SparkSession, d: str) -> DataFrame:
-    return glint_composite(view(spark, d, "scene"))
+    out = glint_composite(view(spark, d, "scene"))
+    return out.select("month_start", "tile", r6("alpha_min").alias("alpha_min"), r6("alpha_max").alias("alpha_max"), "min_name", "max_name")
 
 
 def granule_glint(spark: SparkSession, paths: str) -> DataFrame:
