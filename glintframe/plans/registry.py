@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import pixel_queries, scene_queries, timeline_queries, workflows  # noqa: F401  they register themselves
+from . import file_queries, pixel_queries, scene_queries, timeline_queries, workflows  # noqa: F401  they register themselves
 from .catalog import ORACLE_SQL, QUERIES  # noqa: F401

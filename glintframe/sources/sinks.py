@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import checkpointed
 from ..functions.scalars import month_name
 
 
@@ -38,6 +39,19 @@ def write_pixels(rows: DataFrame, folder: str, artifacts: DataFrame | None = Non
     rows.repartition("sid").sortWithinPartitions("sid", "row", "col").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sid").parquet(folder)
 
 
+def ensured(wanted: DataFrame, artifacts: DataFrame, make, folder: str, overwrite: bool = False) -> DataFrame:
+    """`wanted` (sid, datatype; one datatype) with `exported`, after the missing artifacts are made and written.
+
+    Those ready or being ingested stay as they are (exported false); `make(sids)` gives the pixel rows (sid, row, col,
+    ...) of the others, which `write_pixels` puts into the folder. Decisions are worked out before anything is written.
+    """
+    decided = checkpointed(export_decision(wanted.distinct(), artifacts, overwrite))
+    todo = decided.where(F.col("decision").isin("export", "replace")).select("sid").distinct()
+    if not todo.isEmpty():
+        write_pixels(make(todo), folder)
+    return decided.select("sid", "datatype", F.col("decision").isin("export", "replace").alias("exported"))
+
+
 def feature_lines(rows: DataFrame, geometry: str, *properties: str) -> DataFrame:
     """value: one GeoJSON feature a row; geometry is JSON text, or NULL for no plume."""
     shape = F.coalesce(F.col(geometry), F.lit("null"))

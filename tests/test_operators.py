@@ -317,3 +317,67 @@ def test_workflow_gates_cloudy_scenes(spark):
 
     out = plume_workflow(scene_pixels(spark).withColumn("cs_cdf", F.lit(0.1)))
     assert out.status.first()["status"] == "c mask mostly empty" and out.ratio.isEmpty()
+
+
+def test_complex_retrieval_fits_reflectances_within_reach(spark):
+    rng = np.random.default_rng(3)
+    n = 60
+    b = {k: rng.uniform(500, 3000, n) for k in ("b2", "b3", "b4", "b11", "b12")}
+    lat = np.where(np.arange(n) < 40, 27.0, 28.0)  # the last twenty lie 111 km off
+    rows = [(1, *(float(b[k][i]) for k in b), -90.0, float(lat[i]), -90.0, 27.0, 10.0 if i % 5 else 50.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "sid int, b2 double, b3 double, b4 double, b11 double, b12 double, lon double, lat double, site_lon double, site_lat double, sga double")
+    got = R.complex_retrieval(df, 0.0, 30.0).orderBy("b11").collect()
+    b11, b12, vis = b["b11"] / 1e4, b["b12"] / 1e4, (b["b2"] + b["b3"] + b["b4"]) / 3e4
+    s, near = np.clip((b12 - vis) / np.maximum(b12 + vis, 1e-4), -1, 1), np.arange(n) < 40
+    a = np.linalg.lstsq(np.column_stack([np.ones(40), s[near]]), b11[near], rcond=None)[0]
+    fit = a[0] + a[1] * s
+    f11, f12 = b11 - fit, b12 - fit * (b12 / (b11 + 1e-6))
+    c = np.linalg.lstsq(np.column_stack([f12, f12 * s])[near], f11[near], rcond=None)[0]
+    r = ((c[0] + c[1] * s) * f12 - f11) / (f11 + 1e-6)
+    order = np.argsort(b["b11"])
+    want = [None if i % 5 == 0 else pytest.approx(r[i], rel=1e-6) for i in order]
+    assert [g["r"] for g in got] == want and "__near" not in got[0]
+
+
+def test_burnt_outlines_are_the_cells(spark):
+    rng = np.random.default_rng(5)
+    cells = [(s, int(i), int(j), -1.0) for s in range(4) for i, j in np.argwhere(rng.random((9, 9)) < 0.6)]
+    labelled = G.components(spark.createDataFrame(cells, "sid int, `row` long, col long, value double"))
+    want = {(r["sid"], r["label"], r["row"], r["col"]) for r in labelled.collect()}
+    placed = dict(west=100.0, north=50.0, dx=0.5, dy=-0.5)
+    got = [(r["sid"], r["label"], r["row"], r["col"]) for r in G.burnt(G.plume_outlines(labelled, **placed), **placed).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert G.burnt_cells([], 0, 0, 1, -1)[0].size == 0
+
+
+def test_long_islands_over_many_tiles(spark):
+    cells = [(1, 0, j) for j in range(64)] + [(1, 5, j) for j in range(64) if j != 30]
+    got = G.components(spark.createDataFrame(cells, "sid int, `row` long, col long"), tile=2).collect()
+    assert {r["label"] for r in got if r["row"] == 0} == {0}
+    assert {(r["col"] > 30, r["label"]) for r in got if r["row"] == 5} == {(False, 5 * G.STRIDE), (True, 5 * G.STRIDE + 31)}
+
+
+def test_cloud_tables(spark):
+    p = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 0)], "sid int, `row` int, col int")
+    s = spark.createDataFrame([(1, 0, 0, 0.9), (1, 0, 0, 0.7)], "sid int, `row` int, col int, cs_cdf double")
+    b = spark.createDataFrame([(2, 0, 0, 5.0), (9, 0, 0, 5.0)], "sid int, `row` int, col int, probability double")
+    assert sorted(tuple(r) for r in M.with_clouds(p, s, b).select("sid", "col", "cs_cdf", "probability").na.fill(-1.0).collect()) == [(1, 0, 0.7, -1.0), (1, 1, -1.0, -1.0), (2, 0, -1.0, 5.0)]
+
+
+def test_polygons_meet(spark):
+    ring = lambda points: [Row(x=float(x), y=float(y)) for x, y in points]
+    square = lambda x, y, h: ring([(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)])
+    schema = "k int, ring array<struct<x: double, y: double>>"
+    left = spark.createDataFrame([(1, square(0, 0, 1)), (2, square(10, 10, 5)), (3, None), (4, [])], schema)
+    # inside, touching a corner, crossing without a corner inside, apart, around, missing
+    right = spark.createDataFrame([(1, square(0, 0, 0.2)), (2, square(2, 2, 1)), (3, ring([(-3, -0.1), (3, -0.1), (3, 0.1), (-3, 0.1)])), (4, square(3, 0, 1)), (5, square(10, 10, 9)), (6, None)], schema)
+    for cell in (0.7, 4.0, 100.0):
+        assert sorted((r["k"], r["o_k"]) for r in S.ring_join(left, right, cell).collect()) == [(1, 1), (1, 2), (1, 3), (1, 5), (2, 5)]
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.5, 0.0), (3, None, 0.0)], "p int, lon double, lat double")
+    assert sorted((r["p"], r["o_k"]) for r in S.points_in_rings(points, right, 0.7).collect()) == [(1, 1), (1, 3), (2, 3)]
+
+
+def test_sampled_keys_repeat(spark):
+    df = spark.range(5000).select((F.col("id") % 2500).alias("k"))
+    first, again = ({r["k"] for r in T.sampled_keys(x, "k").collect()} for x in (df, df.repartition(7)))
+    assert first == again and len(first) == 2 and T.sampled_keys(df.where("k < 3"), "k").count() == 1

@@ -186,3 +186,72 @@ def test_stream_tile_alpha(spark, tmp_path):
 
 def test_number_list(spark):
     assert spark.range(1).select(X.numbers(F.lit(" 1 NaN  2.5 "))).first()[0] == [1.0, None, 2.5]
+
+
+@pytest.mark.parametrize("shape", [(23, 23), (16, 16), (1, 40)])
+def test_tiles_keep_every_value_and_the_crs(shape):
+    rng = np.random.default_rng(1)
+    grid = rng.normal(size=shape).astype("f4").astype(float)
+    grid[0, 0] = np.nan
+    back, tags = raster.decode(raster.encode(grid, ulx=500000.0, uly=4100000.0, crs="EPSG:32615"))
+    np.testing.assert_array_equal(back, grid)
+    assert raster.crs_of(tags) == "EPSG:32615" and tags[33922][3:5] == (500000.0, 4100000.0) and tags[322] == (16,)
+    assert raster.crs_of(raster.decode(raster.encode(grid, crs="EPSG:4326"))[1]) == "EPSG:4326" and raster.crs_of({}) is None
+
+
+def strips(grid, kind, predictor, end="<", rows_per_strip=2):
+    """A deflate strip TIFF written apart from the encoder."""
+    import struct
+    import zlib
+
+    grid = np.asarray(grid).astype(np.dtype(kind).newbyteorder(end))
+    size = grid.dtype.itemsize
+    body = []
+    for at in range(0, len(grid), rows_per_strip):
+        part = grid[at:at + rows_per_strip]
+        if predictor == 2:
+            whole = [[int(v) for v in row] for row in part.view(f"{end}u{size}")]
+            part = np.array([[(row[k] - (row[k - 1] if k else 0)) % 256 ** size for k in range(len(row))] for row in whole], dtype=f"{end}u{size}")
+        elif predictor == 3:
+            planes = [[b for plane in range(size) for v in row for b in [np.array(v, dtype=np.dtype(kind).newbyteorder(">")).tobytes()[plane]]] for row in part]
+            part = np.array([[(row[k] - (row[k - 1] if k else 0)) % 256 for k in range(len(row))] for row in planes], dtype=np.uint8)
+        body.append(zlib.compress(part.tobytes()))
+    out = {"<": b"II", ">": b"MM"}[end] + struct.pack(f"{end}HI", 42, 0)
+    offsets = []
+    for b in body:
+        offsets.append(len(out))
+        out += b
+    lists = len(out)
+    out += struct.pack(f"{end}{2 * len(body)}I", *offsets, *map(len, body))
+    short = lambda v: struct.unpack(f"{end}I", struct.pack(f"{end}HH", v, 0))[0]
+    several = len(body) > 1
+    entries = [(256, 4, 1, grid.shape[1]), (257, 4, 1, grid.shape[0]), (258, 3, 1, short(8 * size)), (259, 3, 1, short(8)),
+               (273, 4, len(body), lists if several else offsets[0]), (278, 4, 1, rows_per_strip), (279, 4, len(body), lists + 4 * len(body) if several else len(body[0])),
+               (317, 3, 1, short(predictor)), (339, 3, 1, short({"u": 1, "i": 2, "f": 3}[grid.dtype.kind]))]
+    at = len(out)
+    out += struct.pack(f"{end}H", len(entries)) + b"".join(struct.pack(f"{end}HHII", *e) for e in entries) + struct.pack(f"{end}I", 0)
+    return out[:4] + struct.pack(f"{end}I", at) + out[8:]
+
+
+@pytest.mark.parametrize("end", ["<", ">"])
+@pytest.mark.parametrize("kind, predictor", [("u1", 1), ("u1", 2), ("u2", 2), ("i2", 2), ("f4", 1), ("f4", 2), ("f4", 3), ("f8", 3)])
+def test_strips_of_any_sample_and_predictor(kind, predictor, end):
+    grid = (np.arange(15).reshape(5, 3) * 7 % 40 - (0 if kind[0] == "u" else 20)).astype(kind)
+    back, _ = raster.decode(strips(grid, kind, predictor, end))
+    np.testing.assert_array_equal(back, grid.astype(float))
+
+
+def test_placed_files(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(raster.encode(np.zeros((3, 3)), 500000.0, 4100000.0, crs="EPSG:32615"))
+    assert list(raster.read_corners(spark, str(tmp_path)).first())[1:] == [500000.0, 4100000.0, 5000.0, 5000.0, "EPSG:32615"]
+
+
+def test_missing_artifacts_are_made_once(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    wanted = spark.createDataFrame([("a", "SGA"), ("b", "SGA"), ("c", "SGA"), ("c", "SGA")], "sid string, datatype string")
+    known = spark.createDataFrame([("a", "SGA", "ready"), ("b", "SGA", "ingesting")], "sid string, datatype string, state string")
+    make = lambda sids: sids.select("sid", F.lit(0).alias("row"), F.lit(1).alias("col"), F.lit(2.0).alias("v"))
+    assert {(r["sid"], r["exported"]) for r in sinks.ensured(wanted, known, make, folder).collect()} == {("a", False), ("b", False), ("c", True)}
+    assert [r["sid"] for r in spark.read.parquet(folder).collect()] == ["c"]
+    again = known.union(spark.createDataFrame([("c", "SGA", "ready")], known.schema))
+    assert not any(r["exported"] for r in sinks.ensured(wanted, again, lambda sids: 1 / 0, folder).collect())
