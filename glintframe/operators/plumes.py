@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..checkpoint import checkpointed
 from ..functions.scalars import col
 
+BURNT_AT_ONCE = 1_000_000  # cells a frame, or those of one outline
 STRIDE = 1_000_000  # a component's label is row * STRIDE + col of its first pixel
 
 
@@ -165,12 +166,18 @@ def plume_outlines(plumes: DataFrame, west: float = 0.0, north: float = 0.0, dx:
     """sid, label, geometry: one GeoJSON MultiPolygon for each plume; corners at west + x dx, north + y dy."""
     kind = dict(plumes.dtypes)[by]
 
-    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = multipolygon(pdf["row"].to_numpy(), pdf["col"].to_numpy())
-        placed = [[[[west + x * dx, north + y * dy] for x, y in ring] for ring in polygon] for polygon in shape]
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "label": [pdf["label"].iloc[0]], "geometry": [json.dumps({"type": "MultiPolygon", "coordinates": placed})]})
+    def outlines(frames):
+        for pdf in frames:
+            shapes = []
+            for row, column in zip(pdf["__r"], pdf["__c"]):
+                shape = multipolygon(np.asarray(row), np.asarray(column))
+                placed = [[[[west + x * dx, north + y * dy] for x, y in ring] for ring in polygon] for polygon in shape]
+                shapes.append(json.dumps({"type": "MultiPolygon", "coordinates": placed}))
+            yield pd.DataFrame({by: pdf[by], "label": pdf["label"], "geometry": shapes})
 
-    return plumes.groupBy(by, "label").applyInPandas(outline, f"{by} {kind}, label long, geometry string")
+    cells = plumes.groupBy(by, "label").agg(F.collect_list(F.struct("row", "col")).alias("__x"))
+    cells = cells.select(by, "label", F.col("__x.row").alias("__r"), F.col("__x.col").alias("__c"))
+    return cells.mapInPandas(outlines, f"{by} {kind}, label long, geometry string")
 
 
 def burnt_cells(polygons: list, west: float, north: float, dx: float, dy: float) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +203,23 @@ def burnt(outlines: DataFrame, west: float = 0.0, north: float = 0.0, dx: float
     """sid, label, row, col of the cells whose centre lies in each outline (GeoJSON MultiPolygon): `plume_outlines` undone."""
     kind = dict(outlines.dtypes)[by]
 
+    def frame(pdf: pd.DataFrame, found: list) -> pd.DataFrame:
+        at = np.repeat([k for k, _, _ in found], [len(r) for _, r, _ in found])
+        r, c = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+        return pd.DataFrame({by: pdf[by].to_numpy()[at], "label": pdf["label"].to_numpy()[at], "row": r, "col": c})
+
     def cells(frames):
         for pdf in frames:
-            for s, label, text in zip(pdf[by], pdf["label"], pdf["geometry"]):
+            found, n = [], 0
+            for k, text in enumerate(pdf["geometry"]):
                 r, c = burnt_cells(json.loads(text)["coordinates"], west, north, dx, dy)
-                yield pd.DataFrame({by: [s] * len(r), "label": label, "row": r, "col": c})
+                found.append((k, r, c))
+                n += len(r)
+                if n >= BURNT_AT_ONCE:
+                    yield frame(pdf, found)
+                    found, n = [], 0
+            if n:
+                yield frame(pdf, found)
 
     return outlines.select(by, "label", "geometry").mapInPandas(cells, f"{by} {kind}, label long, row long, col long")
 

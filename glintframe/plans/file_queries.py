@@ -36,14 +36,14 @@ def ringed(places: DataFrame, shape: list[tuple[float, float]]) -> DataFrame:
 ALPHA = "CAST(o_custkey % 50 AS VARCHAR) AS tile_id, o_orderdate AS datetime, o_totalprice / 1E3 AS alpha"
 
 
-@query("alpha_csv_by_month", f"SELECT tile_id, CAST(year(datetime) AS INT) AS y, CAST(month(datetime) AS INT) AS m, count(*) AS n, round(sum(alpha), 4) AS total FROM (SELECT {ALPHA} FROM orders) GROUP BY 1, 2, 3")
+@query("alpha_csv_by_month", f"SELECT tile_id, CAST(year(datetime) AS INT) AS y, CAST(month(datetime) AS INT) AS m, count(*) AS n, round(sum(alpha), 6) AS total FROM (SELECT {ALPHA} FROM orders) GROUP BY 1, 2, 3")
 def alpha_csv_by_month(spark, d):
     """Angles written as CSV by year and month, read back with their schema."""
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("tile_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("datetime"), (F.col("o_totalprice") / 1e3).alias("alpha"))
 
     def steps(folder):
         sinks.write_csv_by_month(rows, folder, "datetime", "tile_id", "datetime", "alpha")
-        return readers.read_alpha(spark, f"{folder}/*/*").groupBy("tile_id", F.year("datetime").alias("y"), F.month("datetime").alias("m")).agg(F.count("*").alias("n"), F.round(F.sum("alpha"), 4).alias("total"))
+        return readers.read_alpha(spark, f"{folder}/*/*").groupBy("tile_id", F.year("datetime").alias("y"), F.month("datetime").alias("m")).agg(F.count("*").alias("n"), r6(F.sum("alpha")).alias("total"))
 
     return through(spark, steps)
 
@@ -81,7 +81,7 @@ def features_read_back(spark, d):
 
 
 @query("artifacts_ensured", """
-SELECT sid, count(*) AS n, round(sum(b11), 2) AS total FROM px WHERE sid % 5 <> 0 GROUP BY sid""", "px")
+SELECT sid, count(*) AS n, round(sum(b11), 6) AS total FROM px WHERE sid % 5 <> 0 GROUP BY sid""", "px")
 def artifacts_ensured(spark, d):
     """Pixels of the scenes whose artifact is missing, made, written and read back; every fifth is ready."""
     p = view(spark, d, "px").select("sid", "row", "col", "b11")
@@ -91,7 +91,7 @@ def artifacts_ensured(spark, d):
     def steps(folder):
         done = sinks.ensured(wanted, ready, lambda sids: p.join(sids, "sid", "left_semi"), folder)
         back = spark.read.parquet(folder).withColumn("sid", F.col("sid").cast("long"))
-        return back.join(done.where("exported").select("sid"), "sid", "left_semi").groupBy("sid").agg(F.count("*").alias("n"), F.round(F.sum("b11"), 2).alias("total"))
+        return back.join(done.where("exported").select("sid"), "sid", "left_semi").groupBy("sid").agg(F.count("*").alias("n"), r6(F.sum("b11")).alias("total"))
 
     return through(spark, steps)
 
