@@ -61,3 +61,11 @@ def test_earliest_wind_makes_no_pairs(static):
 
 def test_earliest_wind_by_hand(spark):
     wind_by_hand(spark, "earliest")
+
+
+def test_nearest_wind_makes_no_pairs(static):
+    wind_makes_no_pairs(static, "nearest")
+
+
+def test_nearest_wind_by_hand(spark):
+    wind_by_hand(spark, "nearest")
