@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import coordinate_suffix, day_of, first_point, listed, numbers, parse_sid, point_of, xml_address
@@ -47,15 +47,31 @@ def scene(scenes: DataFrame, sid: str) -> DataFrame:
     return scenes.where(F.col("sid") == sid).limit(1)
 
 
+SMALLEST, LARGEST = -7, 9  # cells of 1/128 to 512 degrees
+
+
+def _cell(value: Column, level: Column) -> Column:
+    """The cell of a coordinate; above the largest size there is one cell."""
+    return F.when(level > LARGEST, F.lit(0).cast("long")).otherwise(F.floor(value / F.pow(F.lit(2.0), level)))
+
+
 def resolved_sites(sites: DataFrame, scenes: DataFrame) -> DataFrame:
     """row_index, sid of every site: its cached ids as they are, else the scenes of its dates and place."""
     cached = sites.where(F.size("system_index") > 0).select("row_index", F.explode("system_index").alias("sid"))
     open_ = sites.where(F.coalesce(F.size("system_index"), F.lit(0)) <= 0)
     near = (F.col("sensing_ts") >= F.col("start").cast("timestamp_ntz")) & (F.col("sensing_ts") < F.col("end_exclusive").cast("timestamp_ntz"))
     near = near & F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    # One key for each day the site asks for turns the interval join into an equi-join.
+    # One key for each day the site asks for, and for its place, turns the interval join into an equi-join. A footprint lies
+    # on the grid whose cells are as large as it is, so in few of them; a site looks into its cell of each grid in use.
     days = open_.withColumn("day", F.explode(F.when(F.col("end_exclusive") > F.col("start"), F.sequence(F.col("start"), F.date_sub("end_exclusive", 1)))))
-    found = days.join(scenes.withColumn("day", F.to_date("sensing_ts")), "day").where(near).select("row_index", "sid")
+    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    level = F.when(extent <= 2.0**SMALLEST, SMALLEST).when(extent <= 2.0**LARGEST, F.ceil(F.log2(extent))).otherwise(LARGEST + 1).cast("int")
+    span = lambda low, high: F.explode(F.sequence(_cell(F.col(low), F.col("__level")), _cell(F.col(high), F.col("__level"))))
+    seen = scenes.where((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))).withColumn("__level", level)
+    levels = F.broadcast(seen.select("__level").distinct())  # a row per size
+    seen = seen.withColumn("day", F.to_date("sensing_ts")).withColumn("__i", span("west", "east")).withColumn("__j", span("south", "north"))
+    looked = days.join(levels).withColumn("__i", _cell(F.col("lon"), F.col("__level"))).withColumn("__j", _cell(F.col("lat"), F.col("__level")))
+    found = looked.join(seen, ["day", "__level", "__i", "__j"]).where(near).select("row_index", "sid")
     return cached.unionByName(found).distinct()
 
 

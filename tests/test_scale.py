@@ -1,10 +1,14 @@
 """Joins by time and place whose work grows with their rows, not with pairs; scene limits to the last bit."""
 
 import datetime
+import math
+import random
+import re
 
 import pytest
 
 from glintframe.operators import spatial as S
+from glintframe.sources import readers
 
 START = datetime.datetime(2024, 3, 1)
 
@@ -69,3 +73,35 @@ def test_nearest_wind_makes_no_pairs(static):
 
 def test_nearest_wind_by_hand(spark):
     wind_by_hand(spark, "nearest")
+
+
+def day(n: int) -> datetime.date:
+    return START.date() + datetime.timedelta(days=n)
+
+
+SITE = "row_index int, lon double, lat double, start date, end_exclusive date, system_index array<string>"
+SCENE = "sid string, sensing_ts timestamp_ntz, west double, east double, south double, north double"
+
+
+def test_scenes_meet_sites_by_place_and_day(static):
+    sites = static.createDataFrame([(k, float(k), 0.0, day(0), day(1), None) for k in range(300)], SITE)
+    scenes = static.createDataFrame([(f"s{k}", START, float(k), float(k), -1.0, 1.0) for k in range(300)], SCENE)
+    found = readers.resolved_sites(sites, scenes)
+    assert {(r["row_index"], r["sid"]) for r in found.collect()} == {(k, f"s{k}") for k in range(300)}
+    joins = re.findall(r"\w+Join \[([^\]]*)\], \[", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and all("day" in keys and "," in keys for keys in joins)
+
+
+def test_footprints_of_every_size_find_their_sites(spark):
+    rng = random.Random(5)
+    sizes = [0.0, 1e-4, 2.0**-7, 0.3, 1.0, 2.0, 3.7, 64.0, 360.0, 512.0, 513.0, 1e6, math.inf]
+    boxes = [(f"s{k}", START + datetime.timedelta(hours=rng.randrange(-30, 90)), rng.uniform(-190, 190), rng.uniform(-95, 95), rng.choice(sizes), rng.choice(sizes)) for k in range(400)]
+    boxes = [(sid, ts, float(round(w)), round(w) + dx, float(round(s)), round(s) + dy) for sid, ts, w, s, dx, dy in boxes]
+    boxes += [("backward", START, 5.0, -5.0, 0.0, 1.0), ("absent", START, None, 1.0, 0.0, 1.0), ("same", *boxes[0][1:])]
+    places = [(k, float(rng.randrange(-180, 180)), float(rng.randrange(-90, 90)), day(rng.randrange(3)), day(rng.randrange(4)), None) for k in range(150)]
+    places += [(150, None, 0.0, day(0), day(3), None), (151, 9.0, 9.0, day(0), day(3), ["kept", "kept"]), (152, 9.0, 9.0, day(0), day(3), [])]
+    want = {(151, "kept")}
+    for k, lon, lat, start, end, ids in places:
+        want |= {(k, sid) for sid, ts, w, e, s, n in boxes if not ids and lon is not None and w is not None and start <= ts.date() < end and w <= lon <= e and s <= lat <= n}
+    rows = readers.resolved_sites(spark.createDataFrame(places, SITE), spark.createDataFrame(boxes, SCENE)).collect()
+    assert len(rows) == len(want) > 100 and {(r["row_index"], r["sid"]) for r in rows} == want
