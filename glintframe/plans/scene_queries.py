@@ -35,7 +35,7 @@ def scene_cloud_date_filter(spark, d):
 
 @query("scene_sga_filter", f"SELECT sid, round({ANGLE}, 6) AS angle FROM scene WHERE sza IS NULL OR vza_b11 IS NULL OR coalesce({ANGLE} > 0 AND {ANGLE} < 40, true)", "scene")
 def scene_sga_filter(spark, d):
-    return scenes(spark, d).where(M.scene_glint_ok()).select("sid", r6(X.glint_angle("sza", "vza_b11", "saa", "vaa_b11")).alias("angle"))
+    return M.scenes_in_glint(scenes(spark, d)).select("sid", r6("angle").alias("angle"))
 
 
 @query("alpha_abc", f"SELECT sid, round({ALPHA}, 6) AS alpha FROM scene", "scene")

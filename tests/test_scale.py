@@ -5,9 +5,14 @@ import math
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from glintframe.operators import masks as M
 from glintframe.operators import spatial as S
+from glintframe.plans import registry
 from glintframe.sources import readers
 
 START = datetime.datetime(2024, 3, 1)
@@ -105,3 +110,25 @@ def test_footprints_of_every_size_find_their_sites(spark):
         want |= {(k, sid) for sid, ts, w, e, s, n in boxes if not ids and lon is not None and w is not None and start <= ts.date() < end and w <= lon <= e and s <= lat <= n}
     rows = readers.resolved_sites(spark.createDataFrame(places, SITE), spark.createDataFrame(boxes, SCENE)).collect()
     assert len(rows) == len(want) > 100 and {(r["row_index"], r["sid"]) for r in rows} == want
+
+
+def test_scenes_at_a_limit_of_the_glint_angle_equal_the_sql(spark, tmp_path):
+    """Angles that are 40 but for their last bit, ordinary, or absent."""
+    prices = [321440.16, 278541.96, 364336.79, 235637.24, 75462.67, 372772.98, None]
+    orders = pd.DataFrame({"o_orderkey": range(len(prices)), "o_custkey": 1, "o_orderstatus": "O", "o_totalprice": prices, "o_orderdate": START})
+    orders.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    c = duckdb.connect()
+    c.sql(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet')")
+    want = {(k, None if a is None else round(a, 6)) for k, a in c.sql(registry.ORACLE_SQL["scene_sga_filter"]).fetchall()}
+    got = {(r["sid"], r["angle"]) for r in registry.QUERIES["scene_sga_filter"](spark, str(tmp_path)).collect()}
+    assert got == want and 0 < len({k for k, _ in got} & {0, 1, 2, 3}) < 4
+
+
+def test_glint_angles_of_the_far_and_the_close_agree(spark):
+    angles = [(30.0, 10.0, 180.0, 0.0), (50.0, 8.0, 90.0, 0.0), (10.0, 10.0, 180.0, 0.0), (30.0, 10.0, 0.0, 0.0), (None, 9.0, 1.0, 1.0), (9.0, None, 1.0, 1.0), (9.0, 9.0, None, 1.0), (math.nan, 9.0, 1.0, 1.0)]
+    df = spark.createDataFrame(angles, "sza double, vza_b11 double, saa double, vaa_b11 double")
+    rows = M.scenes_in_glint(df.withColumn("k", F.monotonically_increasing_id())).collect()
+    got = {(r["sza"], r["vza_b11"], r["saa"]): r["angle"] for r in rows}
+    assert len(rows) == len(got) and round(got[30.0, 10.0, 180.0], 9) == 20
+    assert {k for k, a in got.items() if a is None} == {(None, 9.0, 1.0), (9.0, None, 1.0), (9.0, 9.0, None)}
+    assert not any(k[0] is not None and math.isnan(k[0]) for k in got) and (50.0, 8.0, 90.0) not in got
