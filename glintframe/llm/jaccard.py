@@ -8,7 +8,8 @@ more. Documents with one set form a class and are handled once, as a node.
 2. Within a bucket, values are compared 16 at a time. After m agreements in n values the posterior of
    the similarity under a uniform prior is Beta(m + 1, n - m + 1); a pair is dropped as soon as the
    probability that it reaches the threshold falls below `TOLERANCE`. Of the pairs that stay only a
-   forest is emitted, at most one edge per member, whatever the size of the bucket.
+   forest is emitted, at most one edge per member, whatever the size of the bucket. It leads to the least
+   key of a group, which the buckets of a large group mostly have in common, so few edges differ.
 3. Connected components of the forest hold every pair that stayed. Within each, pairs are compared in
    the same way, and those that stay are verified exactly, by counting common shingles; links are counted
    there and pairs are never written out.
@@ -112,14 +113,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of the pairs that stay in each (bucket, block, block); columns: those three, key, signature."""
+    """Edges of the pairs that stay in each (bucket, block, block); columns: those three, own block, key, signature, in order of keys.
+
+    Edges lead to the least key of a group. Of two blocks only those between groups of one and the other are emitted:
+    the rest belongs to (block, block).
+    """
     least = least_agreements(THRESHOLD[0] / THRESHOLD[1], TOLERANCE)
     a, b = [], []
     for t in groups(batches, 3):
-        keys = t.column(3).to_pylist()
-        sig = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype="<u4").reshape(len(keys), SIZE)
-        first = leaders(len(keys), lambda i, rest: stays(sig[i], sig[rest], least))
-        for i in np.flatnonzero(first != np.arange(len(keys))).tolist():
+        own, keys = t.column(3).to_numpy(), t.column(4).to_pylist()
+        sig = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype="<u4").reshape(len(keys), SIZE)
+        every = np.arange(len(keys))
+        within = every.copy()
+        near = lambda i, rest: stays(sig[i], sig[rest], least)
+        if t.column(1)[0] != t.column(2)[0]:
+            for at in (np.flatnonzero(own == k) for k in np.unique(own)):
+                within[at] = at[leaders(len(at), lambda i, rest, at=at: stays(sig[at[i]], sig[at[rest]], least))]
+
+            def near(i, rest):
+                found, other = within[rest] == within[i], own[rest] != own[i]
+                found[other] = stays(sig[i], sig[rest[other]], least)
+                return found
+        first = leaders(len(keys), near)
+        for i in np.flatnonzero((first != every) & (within == every)).tolist():
             a.append(keys[first[i]])
             b.append(keys[i])
         if len(a) > 10_000:
@@ -203,8 +219,8 @@ def _classes(docs: DataFrame, bucket_block: int, component_bytes: int) -> tuple[
     banded = nodes.select("key", F.explode(bands).alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = salted_join(banded, full, "bucket", "key").join(nodes.select("key", "signature"), "key")
-    members = _in_blocks(members, "members", bucket_block, "key").select("bucket", "low", "high", "key", "signature")
-    members = members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    members = _in_blocks(members, "members", bucket_block, "key").select("bucket", "low", "high", "own", "key", "signature")
+    members = members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "key")
     label = components(members.mapInArrow(_forest, "a binary, b binary"))
 
     todo = label.join(nodes.select(F.col("key").alias("node"), "first", "n", "signature", "size"), "node")

@@ -162,6 +162,17 @@ def test_a_large_group_of_near_copies(spark, documents, tmp_path):
     assert all(out[n + k]["class_id"] == n + k and out[n + k]["n_links"] == 0 for k in range(500))
 
 
+def test_buckets_of_a_group_share_its_edges(documents, monkeypatch):
+    """A group meets in a bucket of each band, in ten blocks; a node's edges are far fewer than its buckets and pairs of blocks."""
+    edges = []
+    monkeypatch.setattr(jaccard, "components", lambda df: edges.append(df.distinct().count()) or components(df))
+    n = 600
+    rows = [(k, f"x{k} y{k} {t}") for k, t in enumerate(near_copies(n))]
+    out = jaccard.near_duplicates(documents(rows), bucket_block=60).collect()
+    assert all(r["class_id"] == 0 and r["n_links"] == n - 1 for r in out) and len(out) == n
+    assert n - 1 <= edges[0] <= 6 * n
+
+
 def test_dropped_pairs_are_not_verified(monkeypatch):
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 10)]
     h = MinHash(jaccard.SIZE)
